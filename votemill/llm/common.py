@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from votemill.session import ship
+
 SAMPLE_CHARS = 20_000  # longer texts are not trained on (they are processed like any other)
 
 
@@ -57,4 +59,5 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Reco
             else:
                 yield from out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
