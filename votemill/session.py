@@ -43,3 +43,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="votemill-ckpt-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers.
+
+    Where the workers' path already holds it (PYTHONPATH, or the folder the session was started
+    in) nothing is done; else Spark's own file server hands out a zip of the package.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in {os.path.abspath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]}:
+        return
+    sc = spark.sparkContext
+    if getattr(sc, "_votemill_shipped", False):
+        return
+    import zipfile
+
+    path = os.path.join(tempfile.mkdtemp(prefix="votemill-zip-"), "votemill.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "votemill")):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._votemill_shipped = True
