@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from votemill.plans import flatten
+from votemill.plans import flatten, panel
 
-FLAGSHIP = "p1_found"
-QUERIES = {**flatten.QUERIES}
-SQL = {**flatten.SQL}
+FLAGSHIP = "panel_category_agreement"
+QUERIES = {**panel.QUERIES, **flatten.QUERIES}
+SQL = {**panel.SQL, **flatten.SQL}
