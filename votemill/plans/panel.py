@@ -203,5 +203,5 @@ select category, coalesce(primary_count, 0) primary_count, coalesce(general_coun
     "flagged_labels": _P + """k as (select *, row_number() over (partition by item order by score desc, category) k from sc where rater = 'by_qty')
 select item, coalesce(string_agg(category, '; ' order by k) filter (score >= 0.5), max(category) filter (k = 1 and score > 0), '') flagged from k group by 1""",
     "sets_intersect_union": _P + """s as (select x.item, x.labels a, y.labels b from st x join st y on x.item = y.item and x.rater = 'by_price' and y.rater = 'by_qty')
-select item, array_to_string(list_sort(list_intersect(a, b)), '|') common, array_to_string(list_sort(list_filter(a, e -> not list_contains(b, e))), '|') only_a, array_to_string(list_sort(list_distinct(list_concat(a, b))), '|') either from s""",
+select item, array_to_string(list_sort(list_intersect(a, b)), '|') common, array_to_string(list_sort(list_filter(a, lambda e: not list_contains(b, e))), '|') only_a, array_to_string(list_sort(list_distinct(list_concat(a, b))), '|') either from s""",
 }
