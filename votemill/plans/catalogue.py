@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from votemill.plans import flatten, panel
+from votemill.plans import flatten, panel, ratings
 
 FLAGSHIP = "panel_category_agreement"
-QUERIES = {**panel.QUERIES, **flatten.QUERIES}
-SQL = {**panel.SQL, **flatten.SQL}
+QUERIES = {**panel.QUERIES, **ratings.QUERIES, **flatten.QUERIES}
+SQL = {**panel.SQL, **ratings.SQL, **flatten.SQL}
