@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from votemill.plans import flatten, panel, ratings
+from votemill.plans import flatten, histories, panel, ratings
 
 FLAGSHIP = "panel_category_agreement"
-QUERIES = {**panel.QUERIES, **ratings.QUERIES, **flatten.QUERIES}
-SQL = {**panel.SQL, **ratings.SQL, **flatten.SQL}
+QUERIES = {**panel.QUERIES, **histories.QUERIES, **ratings.QUERIES, **flatten.QUERIES}
+SQL = {**panel.SQL, **histories.SQL, **ratings.SQL, **flatten.SQL}
