@@ -27,7 +27,8 @@ SAMPLE_PAGES = 2000  # pages the model is fitted on
 FUNCTION_WORDS = 2000  # words that stand for themselves
 PROSE = 0.6  # least share of prose of the pages in the second fit
 WINDOW = 16  # units a window
-SPREAD = 2.9  # a window is abnormal this many times as far above the median as the 98th percentile of prose
+SPREAD = 1.8  # a window is abnormal this many times as far above the median as the 98th percentile of prose
+MOST_BITS = 6.0  # more than this is abnormal whatever the sample
 MAINLY = 0.5  # a page is flagged if more than this share of it is abnormal
 NEAR = 12  # a word seen again within so many content words is marked as repeated
 REPEATS = 0.4  # pages that repeat more of their words than this are not trained on
@@ -219,19 +220,30 @@ def train(pages: list[str]) -> ProseModel:
     for t in pages:
         seen.update({s.lower() for kind, s in raw_units("\n".join(prose_lines(t))) if kind in ("word", "han")})
     function = {w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FUNCTION_WORDS]}
-    inf = float("inf")
-    m = ProseModel(function, [], 0.0, inf)
     lines = ["\n".join(prose_lines(t)) for t in pages]
-    m.grams = _fit([m.units(t)[0] for t in lines])
-    values = sorted(y for t in lines for _, y in m.windows(t))
+    first = ProseModel(function, [], 0.0, float("inf"))
+    values = _held_out(first, lines)
     if not values:
-        return m
-    m.high = values[int(len(values) * 0.95)]
-    kept = [t for t in pages if m.share(t) <= 1 - PROSE]
-    full = ProseModel(function, [], 0.0, inf)
+        first.grams = _fit([])
+        return first
+    first.grams = _fit([first.units(t)[0] for t in lines])
+    first.high = values[int(len(values) * 0.95)]
+    kept = [t for t in pages if first.share(t) <= 1 - PROSE]
+    full = ProseModel(function, [], 0.0, float("inf"))
+    values = _held_out(full, kept)
     full.grams = _fit([full.units(t)[0] for t in kept])
-    values = sorted(y for t in kept for _, y in full.windows(t))
     if values:
         mid, up = values[len(values) // 2], values[int(len(values) * 0.98)]
-        full.low, full.high = values[int(len(values) * 0.0005)] * 0.6, mid + SPREAD * (up - mid)
+        full.low, full.high = values[int(len(values) * 0.0005)] * 0.6, min(MOST_BITS, mid + SPREAD * (up - mid))
     return full
+
+
+def _held_out(m: ProseModel, texts: list[str]) -> list[float]:
+    """Bits of the windows of each text under a model of the other half, so that a small sample does not look better known than it is."""
+    units = [m.units(t)[0] for t in texts]
+    out: list[float] = []
+    for half in (0, 1):
+        other = ProseModel(m.function, _fit(units[1 - half :: 2]), 0.0, float("inf"))
+        for t in texts[half::2]:
+            out += [y for _, y in other.windows(t)]
+    return sorted(out)
