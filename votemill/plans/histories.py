@@ -190,7 +190,7 @@ select {_K}, cast(file_pos as int) file_pos, cast(length(t) as int) chars, md5(t
     "repo_distribution": "select count(*) repos, min(n) least, cast(floor(quantile_cont(n, 0.5)) as bigint) median, round(avg(n), 6) mean, max(n) most, count(*) filter (n >= 3) at_least_3, count(*) filter (n >= 5) at_least_5, count(*) filter (n >= 10) at_least_10 from (select repo, max(total_diffs_found) n from git_history_diffs group by 1) where n is not null",
     "valid_repo_semi": "select distinct history_id, repo from git_history_diffs where repo in (select repo from git_history_diffs group by 1 having max(total_diffs_found) >= 5)",
     "unicode_filter": _F + f"x as (select 1) select {_K} from c where regexp_matches(c.commit_message, '[\\x{{3040}}-\\x{{30FF}}\\x{{AC00}}-\\x{{D7AF}}\\x{{1100}}-\\x{{11FF}}\\x{{3130}}-\\x{{318F}}]')",
-    "excluded_anti": _F + "x as (select 1) select distinct history_id, repo from git_history_diffs where repo not in (select repo from c where repo is not null and regexp_matches(c.commit_message, '[\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}]'))",
+    "excluded_anti": _F + "x as (select 1) select distinct history_id, repo from git_history_diffs g where not exists (select 1 from c where c.repo = g.repo and regexp_matches(c.commit_message, '[\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}]'))",
     "resume_anti": _F + "i as (select distinct c.hash || ':' || f.filename diff_id from f join c using (history_id, commit_pos) where trim(c.hash) <> '' and f.filename is not null) select diff_id from i where diff_id not in (select diff_id from recovered_20260714_204326 where diff_id is not null)",
     "upsert_merge": _F + """o as (select c.hash, min(c.commit_message) o from c where trim(c.hash) <> '' group by 1), n as (select commit_hash hash, max(commit_message) n from recovered_20260714_204326 where trim(commit_hash) <> '' group by 1)
 select hash, md5(coalesce(nullif(n, ''), o)) digest, o is null added from o full join n using (hash)""",

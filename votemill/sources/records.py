@@ -19,7 +19,6 @@ RECORD = (
 )
 SHEET = ("diff_id", "filename", "commit_url", "commit_date", "commit_message", "prev_change_1", "prev_change_2", "prev_change_3", "changed_lines", "labels_gold", "maintenance_gold")
 LOG = r"^([0-9a-f]{40}) \| (.*?) \| (.*?) \| (.*) \| (\S+)$"
-CHARSETS = ("utf-8", "cp1252", "latin-1")
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", limit: int = 0) -> DataFrame:
@@ -72,14 +71,10 @@ def parse_log(df: DataFrame, line: Column) -> DataFrame:
 
 
 def best_decoding(raw: Column) -> Column:
-    """Bytes as text by the charset that loses least; of equals the first."""
-    java = {"utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
-    tried = []
-    for i, c in enumerate(CHARSETS):
-        t = F.decode(raw, java[c])
-        lost = F.length(t) - F.length(F.replace(t, F.lit("\ufffd"), F.lit("")))
-        tried.append(F.struct(lost.alias("lost"), F.lit(i).alias("i"), t.alias("t")))
-    return F.array_min(F.array(*tried))["t"]
+    """Bytes as text by the first charset that loses nothing: UTF-8, Windows 1252 (which leaves five bytes undefined), Latin 1."""
+    text = raw.cast("string")
+    undefined = F.hex(raw).rlike("^(?:..)*?(?:81|8D|8F|90|9D)")
+    return F.when(F.is_valid_utf8(text), text).when(undefined, F.decode(raw, "ISO-8859-1")).otherwise(F.decode(raw, "windows-1252"))
 
 
 def first_filled(tables: list[DataFrame], key: str, columns: list[str]) -> DataFrame:
