@@ -73,8 +73,11 @@ def parse_log(df: DataFrame, line: Column) -> DataFrame:
 def best_decoding(raw: Column) -> Column:
     """Bytes as text by the first charset that loses nothing: UTF-8, Windows 1252 (which leaves five bytes undefined), Latin 1."""
     text = raw.cast("string")
-    undefined = F.hex(raw).rlike("^(?:..)*?(?:81|8D|8F|90|9D)")
-    return F.when(F.is_valid_utf8(text), text).when(undefined, F.decode(raw, "ISO-8859-1")).otherwise(F.decode(raw, "windows-1252"))
+    latin = F.decode(raw, "ISO-8859-1")
+    undefined = latin.rlike("[\u0081\u008D\u008F\u0090\u009D]")
+    signs = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+    windows = F.translate(latin, "".join(c for c, w in signs.items() if w), "".join(signs.values()))
+    return F.when(F.is_valid_utf8(text), text).when(undefined, latin).otherwise(windows)
 
 
 def first_filled(tables: list[DataFrame], key: str, columns: list[str]) -> DataFrame:
