@@ -240,10 +240,10 @@ class Mender:
                     continue
                 other = times(bare(r), 0)
                 u = self.usual(r, SIGN)
-                sure = (other >= 5 and other >= 5 * mine) or (doubtful and u > now + GAIN and u > 0)
+                sure = (other >= 5 and other >= 5 * mine) or (doubtful and u > now + GAIN and u > 0 and not self.doubtful(r))
                 if len(word) == 1 and len(r) == 1 and not r.isalpha():
                     u = self.usual(r)
-                    sure = doubtful and u > raw + GAIN and u > 0
+                    sure = doubtful and not self.doubtful(r)
                 u -= 0.5 * any(y.isupper() and x.islower() for x, y in zip(r, r[1:]) if y > "\x7f")
             if sure and u > best:
                 best, text, how = u, r, k
