@@ -241,8 +241,9 @@ class Mender:
                 other = times(bare(r), 0)
                 u = self.usual(r, SIGN)
                 sure = (other >= 5 and other >= 5 * mine) or (doubtful and u > now + GAIN and u > 0 and not self.doubtful(r))
-                if len(word) == 1 and len(r) == 1 and not r.isalpha():
-                    u = self.usual(r)
+                if len(word) == 1 and len(r) == 1:
+                    # A sign may stand alone after any word; a letter has to be known after the word before it (see mend).
+                    u = self.usual(r) - 5 * r.isalpha()
                     sure = doubtful and not self.doubtful(r)
                 u -= 0.5 * any(y.isupper() and x.islower() for x, y in zip(r, r[1:]) if y > "\x7f")
             if sure and u > best:
@@ -254,6 +255,21 @@ class Mender:
         self.memo[word] = got
         return got
 
+    def quoted(self, word: str) -> dict[int, str]:
+        """By pair, a doubtful word with a usual quotation mark in place of its odd sign: half a proof."""
+        if not self.doubtful(word):
+            return {}
+        return {k: r for k, r, _ in self._candidates(word) if r != word and not r.isascii() and all(c in _QUOTES for c in r if c > "\x7f") and not self.doubtful(r)}
+
+    def _both_quotes(self, text: str) -> dict[str, tuple[str, str]]:
+        """The two words of a quotation whose marks were garbled by one pair; either alone would prove nothing."""
+        halves = [(w, h) for w in dict.fromkeys(_TOKEN.findall(text)) if not w.isascii() and not self.mend_word(w) and (h := self.quoted(w))]
+        for i, (a, x) in enumerate(halves):
+            for b, y in halves[i + 1 :]:
+                for k in x.keys() & y.keys():
+                    return {w: (h[k], " > ".join(self.pairs[k])) for w, h in ((a, x), (b, y))}
+        return {}
+
     def mend(self, text: str | None) -> tuple[bool, str | None, str | None, bool]:
         """(damaged, text with its damaged spans restored, pairs, whether all could be restored)."""
         if not text:
@@ -263,9 +279,10 @@ class Mender:
             return lost, text, None, not lost
         out, at, before = [], 0, ""
         how: list[str] = []
+        both = self._both_quotes(text)
         for m in _TOKEN.finditer(text):
             word = m.group()
-            if not word.isascii() and (got := self.mend_word(word)):
+            if not word.isascii() and (got := self.mend_word(word) or both.get(word)):
                 r = got[0]
                 if len(r) > 1 or not (r.isalpha() or r in _QUOTES) or self.known.follows.get((before, r.lower()), 0) > 1:
                     out += [text[at : m.start()], r]
