@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from votemill.functions.scalars import with_totals
 from votemill.operators.votes import items, jaccard, kappa, rater_pairs
 
 _L = "transform(v, x -> x.label)"
@@ -60,7 +61,7 @@ def fleiss(votes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
     share = per.select(*by, F.inline("v")).groupBy(*by, "label").agg(F.count(F.lit(1)).alias("c"))
     sq = share.groupBy(*by).agg(F.sum(F.col("c") * F.col("c")).alias("sq"), F.sum("c").alias("total"))
-    joined = obs.join(sq, list(by)) if by else obs.crossJoin(F.broadcast(sq))  # one row each
+    joined = obs.join(sq, list(by)) if by else with_totals(obs, sq)  # one row each
     expected = F.try_divide(F.col("sq").cast("double"), F.col("total") * F.col("total"))
     do = F.try_divide(F.col("apart"), F.col("votes"))
     de = F.try_divide((F.col("total") * F.col("total") - F.col("sq")).cast("double"), F.col("total") * (F.col("total") - 1))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from votemill.functions import responses as R
 from votemill.functions import text as X
 from votemill.functions.chunks import plan_chunks
+from votemill.functions.scalars import with_totals
 from votemill.operators import classify as C
 from votemill.operators import gold as G
 from votemill.operators import sampling
@@ -55,16 +56,23 @@ def histogram_15(spark, d):
     t = table(spark, d, "customer").where("c_acctbal is not null")
     lim = t.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
     b = F.least(F.floor((F.col("c_acctbal") - F.col("lo")) / F.col("hi").__sub__(F.col("lo")) * 15).cast("int"), F.lit(14))
-    return t.crossJoin(F.broadcast(lim)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return with_totals(t, lim).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def empirical_cdf(spark, d):
-    """The share of parts at or below each price, ties in the order of keys; by counts of prices, so no global sort of rows."""
-    t = table(spark, d, "part")
-    per = t.groupBy("p_retailprice").agg(F.count(F.lit(1)).alias("n"))
-    run = per.withColumn("below", F.sum("n").over(Window.orderBy("p_retailprice")) - F.col("n")).crossJoin(F.broadcast(per.agg(F.sum("n").alias("total"))))
-    inside = t.withColumn("k", F.row_number().over(Window.partitionBy("p_retailprice").orderBy("p_partkey")))
-    return inside.join(run, "p_retailprice").select("p_partkey", "p_retailprice", F.round((F.col("below") + F.col("k")) / F.col("total"), 9).alias("share"))
+    """The share of parts at or below each price, ties in the order of keys.
+
+    Prices are cut into 1024 bins of equal width: ranks run within a bin, and only the counts
+    of the bins are added up in one place.
+    """
+    t = table(spark, d, "part").where("p_retailprice is not null")
+    lim = t.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"), F.count(F.lit(1)).alias("total"))
+    part = F.coalesce(F.try_divide(F.col("p_retailprice") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    x = with_totals(t.select("p_partkey", "p_retailprice"), lim).withColumn("bin", F.least(F.floor(part * 1024), F.lit(1023)))
+    bins = x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    before = bins.select("bin", (F.sum("n").over(Window.orderBy("bin")) - F.col("n")).alias("below"))
+    inside = x.withColumn("k", F.row_number().over(Window.partitionBy("bin").orderBy("p_retailprice", "p_partkey")))
+    return inside.join(before, "bin").select("p_partkey", "p_retailprice", F.round((F.col("below") + F.col("k")) / F.col("total"), 9).alias("share"))
 
 
 def sliding_budget(spark, d):
