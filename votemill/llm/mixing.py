@@ -25,6 +25,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from votemill.functions.scalars import with_totals
+
 BLOCKS = 4096
 BUCKETS = 256
 
@@ -42,11 +44,11 @@ def plan(sums: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.groupBy(F.lower("source").alias("source")).agg(F.coalesce(F.sum("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("max_repeats"))
     total = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
     own = sums.where("source is not null").select("source", "docs", "tokens")
-    p = t.join(own, "source", "left").crossJoin(F.broadcast(total)).na.fill(0, ["docs", "tokens"])
+    p = with_totals(t.join(own, "source", "left"), total).na.fill(0, ["docs", "tokens"])
     p = p.withColumn("wanted", F.col("target_share") * F.col("total")).withColumn("most", F.col("max_repeats") * F.col("tokens"))
     p = p.withColumn("capped", F.col("wanted") > F.col("most")).withColumn("gives", F.when(F.col("capped"), F.col("most").cast("double")).otherwise(F.col("wanted")))
     mix = p.agg(F.sum("gives").alias("mixture"))
-    return p.crossJoin(F.broadcast(mix)).withColumn("actual_share", F.try_divide("gives", "mixture")).withColumn("repeats", F.try_divide("gives", "tokens")).drop("mixture")
+    return with_totals(p, mix).withColumn("actual_share", F.try_divide("gives", "mixture")).withColumn("repeats", F.try_divide("gives", "tokens")).drop("mixture")
 
 
 def schedule(blocks: dict[str, int]) -> list[str]:
