@@ -6,10 +6,9 @@ metric by category is the same plan with one more grouping column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votemill.functions.scalars import with_totals
 from votemill.operators.votes import items, jaccard, kappa, rater_pairs
 
 _L = "transform(v, x -> x.label)"
@@ -31,42 +30,47 @@ def pair_counts(votes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return grouped.select(*by, F.inline(rater_pairs(F.col("v")))).groupBy(*by, "rater_a", "rater_b", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _kappa_of_cells(cells: str = "cells") -> tuple[Column, Column, Column]:
+    """(n, agreement, kappa) of a table of two raters' labels, given as an array of a, b, n; as long as labels allow."""
+    n = F.expr(f"aggregate({cells}, 0D, (s, x) -> s + x.n)")
+    same = F.expr(f"aggregate({cells}, 0D, (s, x) -> s + if(x.a = x.b, x.n, 0))")
+    both = F.expr(f"aggregate(array_distinct(transform({cells}, x -> x.a)), 0D, (s, l) -> s + aggregate({cells}, 0D, (t, x) -> t + if(x.a = l, x.n, 0)) * aggregate({cells}, 0D, (t, x) -> t + if(x.b = l, x.n, 0)))")
+    po = F.try_divide(same, n)
+    return n.cast("bigint"), po, kappa(po, F.try_divide(both, n * n))
+
+
 def cohen(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, rater_a, rater_b, n, agreement, kappa; from pair_counts, which are few rows."""
+    """by, rater_a, rater_b, n, agreement, kappa; from pair_counts, whose rows are as few as labels allow."""
     key = [*by, "rater_a", "rater_b"]
-    total = counts.groupBy(*key).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    left = counts.groupBy(*key, F.col("a").alias("label")).agg(F.sum("n").alias("na"))
-    right = counts.groupBy(*key, F.col("b").alias("label")).agg(F.sum("n").alias("nb"))
-    chance = left.join(right, [*key, "label"]).groupBy(*key).agg(F.sum(F.col("na") * F.col("nb")).alias("both"))
-    po = F.col("same") / F.col("n")
-    pe = F.coalesce(F.col("both"), F.lit(0)) / (F.col("n") * F.col("n"))
-    return total.join(chance, key, "left").select(*key, "n", po.alias("agreement"), kappa(po, pe).alias("kappa"))
+    n, po, k = _kappa_of_cells()
+    return counts.groupBy(*key).agg(F.collect_list(F.struct("a", "b", "n")).alias("cells")).select(*key, n.alias("n"), po.alias("agreement"), k.alias("kappa"))
 
 
 def fleiss(votes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, items, raters, observed, expected, fleiss_kappa, krippendorff_alpha.
 
     Alpha comes from the coincidences: each item with m votes gives its ordered pairs of votes
-    the weight 1/(m-1).  Items with one vote take part in neither.
+    the weight 1/(m-1).  Items with one vote take part in neither.  One chain of aggregates:
+    an item's own figures travel with the first of its votes.
     """
     v = votes.withColumn("label", F.coalesce("label", F.lit("")))
     per = v.groupBy("item", *by).agg(F.collect_list(F.struct("rater", "label")).alias("v")).withColumn("m", F.size("v")).where("m > 1")
     per = per.withColumn("ss", F.expr(_SQUARES))
-    obs = per.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("items"),
+    own = F.col("k") == 0
+    m = F.col("m")
+    labels = per.select(*by, "m", "ss", F.posexplode("v").alias("k", "x")).groupBy(*by, F.col("x.label").alias("label")).agg(
+        F.count(F.lit(1)).alias("c"),
+        F.count(F.when(own, 1)).alias("items"),
         F.max("m").alias("raters"),
-        F.avg((F.col("ss") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("observed"),
-        F.sum((F.col("m") * F.col("m") - F.col("ss")) / (F.col("m") - 1)).alias("apart"),
-        F.sum("m").alias("votes"),
+        F.sum(F.when(own, (F.col("ss") - m) / (m * (m - 1))).otherwise(0.0)).alias("agree"),
+        F.sum(F.when(own, (m * m - F.col("ss")) / (m - 1)).otherwise(0.0)).alias("apart"),
     )
-    share = per.select(*by, F.inline("v")).groupBy(*by, "label").agg(F.count(F.lit(1)).alias("c"))
-    sq = share.groupBy(*by).agg(F.sum(F.col("c") * F.col("c")).alias("sq"), F.sum("c").alias("total"))
-    joined = obs.join(sq, list(by)) if by else with_totals(obs, sq)  # one row each
+    one = labels.groupBy(*by).agg(F.sum("items").alias("items"), F.max("raters").alias("raters"), F.try_divide(F.sum("agree"), F.sum("items")).alias("observed"), F.sum("apart").alias("apart"), F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("sq"))
     expected = F.try_divide(F.col("sq").cast("double"), F.col("total") * F.col("total"))
-    do = F.try_divide(F.col("apart"), F.col("votes"))
+    do = F.try_divide(F.col("apart"), F.col("total"))
     de = F.try_divide((F.col("total") * F.col("total") - F.col("sq")).cast("double"), F.col("total") * (F.col("total") - 1))
     alpha = F.when(de <= 1e-15, F.when(do <= 1e-15, F.lit(1.0))).otherwise(1 - F.try_divide(do, de))
-    return joined.select(*by, "items", "raters", "observed", expected.alias("expected"), kappa(F.col("observed"), expected).alias("fleiss_kappa"), alpha.alias("krippendorff_alpha"))
+    return one.select(*by, F.coalesce("items", F.lit(0)).alias("items"), "raters", "observed", expected.alias("expected"), kappa(F.col("observed"), expected).alias("fleiss_kappa"), alpha.alias("krippendorff_alpha"))
 
 
 def item_ambiguity(votes: DataFrame) -> DataFrame:
@@ -94,27 +98,52 @@ def item_jaccard(sets: DataFrame) -> DataFrame:
     return g.select("item", mean.alias("jaccard"))
 
 
-def presence_votes(sets: DataFrame, categories: tuple[str, ...]) -> DataFrame:
-    """item, rater, category and the vote 1 or 0 for each category of a fixed list."""
-    cats = F.array(*[F.lit(c) for c in categories])
-    return sets.select("item", "rater", "labels", F.explode(cats).alias("category")).select("item", "rater", "category", F.when(F.array_contains("labels", F.col("category")), "1").otherwise("0").alias("label"))
-
-
 def by_category(sets: DataFrame, categories: tuple[str, ...]) -> DataFrame:
-    """Per category: prevalence, share of items not unanimous, Fleiss, alpha, mean Cohen; in one pass."""
-    binary = presence_votes(sets, categories)
-    per = binary.groupBy("category", "item").agg(F.sum(F.col("label").cast("int")).alias("yes"), F.count(F.lit(1)).alias("m"))
-    base = per.groupBy("category").agg(F.try_divide(F.sum("yes").cast("double"), F.sum("m")).alias("prevalence"), F.avg(((F.col("yes") > 0) & (F.col("yes") < F.col("m"))).cast("double")).alias("not_unanimous"))
-    f = fleiss(binary, by=("category",)).select("category", "fleiss_kappa", "krippendorff_alpha")
-    c = cohen(pair_counts(binary, by=("category",)), by=("category",)).groupBy("category").agg(F.avg("kappa").alias("mean_cohen"))
-    return base.join(f, "category", "left").join(c, "category", "left")
-
-
-def versus(votes: DataFrame, sets: DataFrame, reference_votes: DataFrame, reference_sets: DataFrame) -> DataFrame:
-    """Per rater against one reference: items in common, agreement, kappa, mean Jaccard."""
-    ref = reference_votes.select("item", F.coalesce("label", F.lit("")).alias("b"))
-    pairs = votes.select("item", "rater", F.coalesce("label", F.lit("")).alias("a")).join(ref, "item")
-    counts = pairs.groupBy(F.col("rater").alias("rater_a"), F.lit("reference").alias("rater_b"), "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    k = cohen(counts).select(F.col("rater_a").alias("rater"), "n", "agreement", "kappa")
-    j = sets.join(reference_sets.select("item", F.col("labels").alias("ref")), "item").groupBy("rater").agg(F.avg(jaccard(F.col("labels"), F.col("ref"))).alias("mean_jaccard"))
-    return k.join(j, "rater")
+    """Per category: prevalence, share of items not unanimous, Fleiss, alpha, mean Cohen over pairs of raters.
+
+    One scan and one chain: an item gives, for each category, its count of votes and one entry
+    per pair of raters; equal entries are counted before anything is shuffled, and all metrics
+    follow from the counts.
+    """
+    g = sets.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("rater", F.col("labels").alias("label")))).alias("v"))
+    x = g.select("v", rater_pairs(F.col("v")).alias("pairs"), F.explode(F.array(*[F.lit(c) for c in categories])).alias("category"))
+    has = lambda c: F.array_contains(c, F.col("category")).cast("int")
+    none = F.lit(None).cast("string")
+    item = F.struct(none.alias("ra"), none.alias("rb"), F.size("v").alias("p"), F.size(F.filter("v", lambda r: F.array_contains(r["label"], F.col("category")))).alias("q"))
+    pair = F.transform("pairs", lambda y: F.named_struct(F.lit("ra"), y["rater_a"], F.lit("rb"), y["rater_b"], F.lit("p"), has(y["a"]), F.lit("q"), has(y["b"])))
+    n = x.select("category", F.inline(F.concat(F.array(item), pair))).groupBy("category", "ra", "rb", "p", "q").agg(F.count(F.lit(1)).alias("n"))
+
+    m, y, w = F.col("p"), F.col("q"), F.col("n")
+    whole = F.col("ra").isNull()
+    ss = y * y + (m - y) * (m - y)
+    only = lambda e: F.sum(F.when(whole, w * e))
+    cells = F.collect_list(F.when(~whole, F.struct(m.alias("a"), y.alias("b"), "n")))
+    t = n.groupBy("category", "ra", "rb").agg(
+        only(F.lit(1)).alias("items"), only(m).alias("votes"), only(y).alias("yes"),
+        only(((y > 0) & (y < m)).cast("int")).alias("split"),
+        only(F.when(m > 1, 1).otherwise(0)).alias("rated"),
+        only(F.when(m > 1, y).otherwise(0)).alias("yes2"), only(F.when(m > 1, m).otherwise(0)).alias("votes2"),
+        only(F.when(m > 1, (ss - m) / (m * (m - 1))).otherwise(0.0)).alias("agree"),
+        only(F.when(m > 1, (m * m - ss) / (m - 1)).otherwise(0.0)).alias("apart"),
+        cells.alias("cells"),
+    )
+    _, _, k = _kappa_of_cells()
+    c = t.withColumn("k", F.when(F.size("cells") > 0, k)).groupBy("category").agg(F.avg("k").alias("mean_cohen"), *[F.max(x).alias(x) for x in ("items", "votes", "yes", "split", "rated", "yes2", "votes2", "agree", "apart")])
+    yes, total = F.col("yes2").cast("double"), F.col("votes2").cast("double")
+    sq = yes * yes + (total - yes) * (total - yes)
+    po, pe = F.try_divide("agree", "rated"), F.try_divide(sq, total * total)
+    do, de = F.try_divide("apart", "votes2"), F.try_divide(total * total - sq, total * (total - 1))
+    alpha = F.when(de <= 1e-15, F.when(do <= 1e-15, F.lit(1.0))).otherwise(1 - F.try_divide(do, de))
+    return c.select("category", F.try_divide(F.col("yes").cast("double"), F.col("votes")).alias("prevalence"), F.try_divide(F.col("split").cast("double"), F.col("items")).alias("not_unanimous"), kappa(po, pe).alias("fleiss_kappa"), alpha.alias("krippendorff_alpha"), "mean_cohen")
+
+
+def versus(ballots: DataFrame, reference: str) -> DataFrame:
+    """Per rater against one reference: items in common, agreement, kappa, mean Jaccard; from item, rater, label, labels."""
+    entry = F.struct("rater", F.coalesce("label", F.lit("")).alias("label"), "labels")
+    g = ballots.groupBy("item").agg(F.collect_list(entry).alias("v"))
+    others = g.withColumn("ref", F.try_element_at(F.filter("v", lambda x: x["rater"] == reference), F.lit(1))).where("ref is not null")
+    rows = others.select("ref", F.explode(F.filter("v", lambda x: x["rater"] != reference)).alias("x")).select(F.col("x.rater").alias("rater"), F.col("x.label").alias("a"), F.col("ref.label").alias("b"), jaccard(F.col("x.labels"), F.col("ref.labels")).alias("j"))
+    counts = rows.groupBy("rater", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("j").alias("j"))
+    n, po, k = _kappa_of_cells()
+    one = counts.groupBy("rater").agg(F.collect_list(F.struct("a", "b", "n")).alias("cells"), F.try_divide(F.sum("j"), F.sum("n")).alias("mean_jaccard"))
+    return one.select("rater", n.alias("n"), po.alias("agreement"), k.alias("kappa"), "mean_jaccard")

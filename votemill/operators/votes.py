@@ -45,6 +45,13 @@ def label_sets(scores: DataFrame, threshold: float = PRESENT) -> DataFrame:
     return scores.groupBy("item", "rater").agg(F.sort_array(F.collect_set(F.when(F.col("score") >= threshold, F.col("category")))).alias("labels"))
 
 
+def ballots(scores: DataFrame, threshold: float = PRESENT) -> DataFrame:
+    """item, rater, label and labels: primary vote and label set together, in one grouping."""
+    best = F.min(F.struct((-F.col("score")).alias("s"), "category"))
+    present = F.collect_set(F.when(F.col("score") >= threshold, F.col("category")))
+    return scores.groupBy("item", "rater").agg(best.alias("b"), present.alias("labels")).select("item", "rater", F.col("b.category").alias("label"), "labels")
+
+
 def aligned(df: DataFrame, raters: int) -> DataFrame:
     """Rows of items that all raters know (an inner join over raters, by one count)."""
     n = F.size(F.collect_set("rater").over(Window.partitionBy("item")))
@@ -58,7 +65,7 @@ def items(votes: DataFrame) -> DataFrame:
 
 def rater_pairs(v: Column) -> Column:
     """Pairs of one item's raters, the first before the second; as many as raters allow, however many items there are."""
-    return F.flatten(F.transform(v, lambda x: F.transform(F.filter(v, lambda y: y["rater"] > x["rater"]), lambda y: F.struct(x["rater"].alias("rater_a"), y["rater"].alias("rater_b"), x["label"].alias("a"), y["label"].alias("b")))))
+    return F.flatten(F.transform(v, lambda x: F.transform(F.filter(v, lambda y: y["rater"] > x["rater"]), lambda y: F.named_struct(F.lit("rater_a"), x["rater"], F.lit("rater_b"), y["rater"], F.lit("a"), x["label"], F.lit("b"), y["label"]))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

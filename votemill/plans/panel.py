@@ -71,10 +71,7 @@ def panel_category_ambiguity(spark, d):
 
 
 def panel_vs_reference(spark, d):
-    s = _scores(spark, d, _ALL)
-    v, sets = V.primary_votes(s), V.label_sets(s)
-    ref, own = F.col("rater") == V.REFERENCE, F.col("rater") != V.REFERENCE
-    return A.versus(v.where(own), sets.where(own), v.where(ref), sets.where(ref)).select("rater", "n", *map(_R9, ("agreement", "kappa", "mean_jaccard")))
+    return A.versus(V.ballots(_scores(spark, d, _ALL)), V.REFERENCE).select("rater", "n", *map(_R9, ("agreement", "kappa", "mean_jaccard")))
 
 
 def panel_pooled(spark, d):
