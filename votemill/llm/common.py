@@ -18,11 +18,15 @@ def sample_rows(df: DataFrame, key: list[str], where: Column, n: int) -> list:
     """At most ``n`` rows, the same at every run and whatever the partitioning: those with the smallest hashes of ``key``.
 
     The bound makes the sample fit the driver at any corpus size.  The hashes are ranked on
-    the key columns alone, so the texts of other rows are neither sorted nor moved.
+    the key columns alone, so the texts of other rows are neither sorted nor moved; rows that
+    repeat a key, however many, are one row before anything is collected.
     """
     h = F.xxhash64(*key)
-    cut = df.where(where).select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return [] if cut is None else sorted(df.where(where & (h <= F.lit(cut))).collect(), key=lambda r: [str(r[k]) for k in key])[: 2 * n]
+    cut = df.where(where).select(h.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if cut is None:
+        return []
+    rows = df.where(where & (h <= F.lit(cut))).dropDuplicates(key).limit(n).collect()
+    return sorted(rows, key=lambda r: [str(r[k]) for k in key])
 
 
 class Shipped:
