@@ -99,6 +99,19 @@ def test_votes_take_the_latest_valid_rating(spark):
     assert got == {"a": (consensus.CATEGORIES.index("Conf.&Env."), True), "b": (consensus.CATEGORIES.index("Security"), True), "c": (None, False)}
 
 
+def test_prose_model_counts_every_page(spark):
+    from votemill.llm import prose, text_queries
+
+    rare = "\n".join("Das ist " + " ".join("z" * 12 + chr(97 + i % 26) + chr(97 + i // 26) + c for c in "abcdef") + " und gut !" for i in range(200))
+    texts = ["The parser is ready."] * 2500 + [rare, None, "", " "]
+    assert len(rare) > 20_000
+    model = text_queries.train_prose(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).get()
+    assert model.grams[2]["<nl>", "<nl>"][2]["the"] == 2500
+    assert {"the", "parser", "is", "das", "ist", "und", "gut"} <= model.function
+    local = prose.train([t for t in texts if t])
+    assert (model.function, model.grams[2]) == (local.function, local.grams[2])
+
+
 def test_no_machine_local_checkpoints():
     root = Path(catalogue.__file__).parent.parent
     assert not [p for p in root.rglob("*.py") if "localCheckpoint(" in p.read_text()]

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from votemill.session import ship
 
 SAMPLE_CHARS = 20_000  # longer texts are not trained on (they are processed like any other)
+COUNTED = 200_000  # keys that a task holds before it hands on what it has counted
 
 
 def sample_rows(df: DataFrame, key: list[str], where: Column, n: int) -> list:
@@ -65,3 +67,28 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Reco
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def count_keys(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[Iterable[str]]]) -> DataFrame:
+    """key, n: how often ``keys`` gives a key over all rows of ``df``, which gives the keys of each row of a batch.
+
+    A task adds up what it reads and hands on partial sums, so that neither a frequent key nor
+    many rows weigh on the shuffle, and no task holds more than ``COUNTED`` keys and a row's own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for found in keys(batch):
+                seen.update(found)
+                if len(seen) > COUNTED:
+                    yield _counted(seen)
+                    seen.clear()
+        yield _counted(seen)
+
+    ship(df.sparkSession)
+    return df.mapInArrow(run, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _counted(seen: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])

@@ -9,9 +9,9 @@ over and over, far below) what prose shows.  A page is flagged if most of its un
 such windows.
 
 Training needs no labels of spam: a first model learns lines that end as sentences do, a
-second one the whole pages that are largely prose under the first (``PROSE``), from a bounded
-sample (``SAMPLE_PAGES``).  A sequence counts once a page, so a phrase that one page repeats a
-hundred times teaches little.
+second one the whole pages that are largely prose under the first (``PROSE``).  Every page of
+the corpus is counted (``fit``), and the cut-offs are percentiles of the windows of all pages.
+A sequence counts once a page, so a phrase that one page repeats a hundred times teaches little.
 
 Edge cases: a null, empty or blank text, and one of code or trees only, is no spam; the
 length of a text has no limit; repeated texts are judged alike.
@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from math import log2
+from collections.abc import Callable, Iterable
+from math import ceil, frexp, ldexp, log2
 
-SAMPLE_PAGES = 2000  # pages the model is fitted on
 FUNCTION_WORDS = 2000  # words that stand for themselves
 PROSE = 0.6  # least share of prose of the pages in the second fit
 WINDOW = 16  # units a window
@@ -32,6 +32,7 @@ MOST_BITS = 6.0  # more than this is abnormal whatever the sample
 MAINLY = 0.5  # a page is flagged if more than this share of it is abnormal
 NEAR = 12  # a word seen again within so many content words is marked as repeated
 REPEATS = 0.4  # pages that repeat more of their words than this are not trained on
+BINS = 4096  # windows are counted for the percentiles in bins of one part in so many, or in half as many
 MEMO_LINES = 50_000  # lines whose units a worker remembers
 
 _UNIT = re.compile(
@@ -158,7 +159,9 @@ class ProseModel:
 
     def windows(self, text: str) -> list[tuple[int, float]]:
         """(characters, mean bits) of each window of WINDOW units or a little more."""
-        u, size = self.units(text)
+        return self.windows_of(*self.units(text))
+
+    def windows_of(self, u: list[str], size: list[int]) -> list[tuple[int, float]]:
         a = b = "<nl>"
         s = []
         bits = self.bits
@@ -172,7 +175,10 @@ class ProseModel:
 
     def share(self, text: str | None) -> float:
         """Share of a page's worded characters in windows that are abnormally surprising or abnormally predictable; 0 for a text without any."""
-        w = self.windows(text or "")
+        return self.share_of(*self.units(text or ""))
+
+    def share_of(self, u: list[str], size: list[int]) -> float:
+        w = self.windows_of(u, size)
         n = sum(x for x, _ in w)
         return sum(x for x, y in w if y > self.high or y < self.low) / n if n else 0.0
 
@@ -180,16 +186,19 @@ class ProseModel:
         return self.share(text) > MAINLY
 
 
-def _fit(pages: list[list[str]]) -> list[dict]:
+def sequences(u: list[str]) -> set[tuple[str, str, str]]:
+    """The trigrams of a page, each once."""
+    return set(zip(["<nl>", "<nl>", *u], ["<nl>", *u], u))
+
+
+def _grams(counts: Iterable[tuple[tuple[str, ...], int]]) -> list[dict]:
     one: Counter = Counter()
     two: dict = {}
     three: dict = {}
-    for u in pages:
-        once = set(zip(["<nl>", "<nl>", *u], ["<nl>", *u], u))
-        for a, b, c in once:
-            one[c] += 1
-            two.setdefault(b, Counter())[c] += 1
-            three.setdefault((a, b), Counter())[c] += 1
+    for (a, b, c), n in counts:
+        one[c] += n
+        two.setdefault(b, Counter())[c] += n
+        three.setdefault((a, b), Counter())[c] += n
     pack = lambda t: {k: (sum(v.values()), len(v), dict(v)) for k, v in t.items()}
     return [pack({"": one or Counter({"<nl>": 1})}), pack(two), pack(three)]
 
@@ -205,45 +214,137 @@ def prose_lines(text: str) -> list[str]:
 def repeats(text: str) -> float:
     """Share of a text's longer words that stood among the NEAR longer words before."""
     words = [s.lower() for line in worded_lines(text) for kind, s in line if kind == "word" and len(s) > 3]
-    return sum(w in words[max(0, i - NEAR) : i] for i, w in enumerate(words)) / max(1, len(words))
+    last: dict[str, int] = {}
+    n = 0
+    for i, w in enumerate(words):
+        n += i - last.get(w, -NEAR - 1) <= NEAR
+        last[w] = i
+    return n / max(1, len(words))
+
+
+Keys = Callable[[int, str], Iterable[str]]
+#: Counts the keys that a function gives for each page, over all pages; with a number, only so many of the most frequent (ties by key).
+Count = Callable[[Keys, "int | None"], Iterable[tuple[str, int]]]
 
 
 def train(pages: list[str]) -> ProseModel:
-    """The model of a sample of pages; with no pages every text is sound.
+    """The model of pages in memory; the halves are every other page."""
+
+    def count(keys: Keys, top: int | None) -> list[tuple[str, int]]:
+        seen: Counter = Counter()
+        for i, t in enumerate(pages):
+            seen.update(keys(i % 2, t))
+        return sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:top]
+
+    return fit(count)
+
+
+def fit(count: Count, hand: Callable = lambda model: lambda: model) -> ProseModel:
+    """The model of all pages that ``count`` goes over; with no pages every text is sound.
 
     First a model of lines that end as sentences do, then a model of the whole pages that are
     largely prose under it: their headings, tables, trees and code are then no surprise, and a
-    page without prose has taught nothing.
+    page without prose has taught nothing.  The percentiles come from each page's windows under
+    a model of the other half of the pages, so that a small corpus does not look better known
+    than it is; they are the upper ends of bins (``BINS``).
+
+    A pass over the pages needs what the passes before have found: ``hand`` sends that to
+    wherever pages are read and returns what gets it there.
     """
-    pages = [t for t in pages if repeats(t) <= REPEATS]
-    seen: Counter = Counter()
-    for t in pages:
-        seen.update({s.lower() for kind, s in raw_units("\n".join(prose_lines(t))) if kind in ("word", "han")})
-    function = {w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FUNCTION_WORDS]}
-    lines = ["\n".join(prose_lines(t)) for t in pages]
+    function = {w for w, _ in count(_words, FUNCTION_WORDS)}
     first = ProseModel(function, [], 0.0, float("inf"))
-    values = _held_out(first, lines)
-    if not values:
-        first.grams = _fit([])
+    first.grams, halves = _learn(count(_line_grams(hand(first)), None), function)
+    values = _Percentiles(count(_line_windows(hand(halves)), None))
+    if not values.n:
+        first.grams = _grams([])
         return first
-    first.grams = _fit([first.units(t)[0] for t in lines])
-    first.high = values[int(len(values) * 0.95)]
-    kept = [t for t in pages if first.share(t) <= 1 - PROSE]
+    first.high = values.at(0.95)
     full = ProseModel(function, [], 0.0, float("inf"))
-    values = _held_out(full, kept)
-    full.grams = _fit([full.units(t)[0] for t in kept])
-    if values:
-        mid, up = values[len(values) // 2], values[int(len(values) * 0.98)]
-        full.low, full.high = values[int(len(values) * 0.0005)] * 0.6, min(MOST_BITS, mid + SPREAD * (up - mid))
+    full.grams, halves = _learn(count(_page_grams(hand(first)), None), function)
+    values = _Percentiles(count(_page_windows(hand((first, halves))), None))
+    if values.n:
+        mid, up = values.at(0.5), values.at(0.98)
+        full.low, full.high = values.at(0.0005) * 0.6, min(MOST_BITS, mid + SPREAD * (up - mid))
     return full
 
 
-def _held_out(m: ProseModel, texts: list[str]) -> list[float]:
-    """Bits of the windows of each text under a model of the other half, so that a small sample does not look better known than it is."""
-    units = [m.units(t)[0] for t in texts]
-    out: list[float] = []
-    for half in (0, 1):
-        other = ProseModel(m.function, _fit(units[1 - half :: 2]), 0.0, float("inf"))
-        for t in texts[half::2]:
-            out += [y for _, y in other.windows(t)]
-    return sorted(out)
+def _learn(counts: Iterable[tuple[str, int]], function: set[str]) -> tuple[list[dict], tuple[ProseModel, ProseModel]]:
+    """The sequences of all pages, and a model of each half; keys are the half and three units (which have no blanks)."""
+    by: tuple[Counter, Counter] = (Counter(), Counter())
+    for key, n in counts:
+        half, *gram = key.split(" ")
+        by[int(half)][tuple(gram)] = n
+    halves = tuple(ProseModel(function, _grams(c.items()), 0.0, float("inf")) for c in by)
+    return _grams((by[0] + by[1]).items()), halves
+
+
+def _bin(y: float) -> str:
+    """The upper end of a value's bin; bins grow with the value, so that the smallest are told apart too."""
+    m, e = frexp(y)
+    return repr(ldexp(ceil(m * BINS) / BINS, e))
+
+
+class _Percentiles:
+    """Values counted in bins."""
+
+    def __init__(self, counts: Iterable[tuple[str, int]]):
+        self.bins = sorted((float(k), n) for k, n in counts)
+        self.n = sum(n for _, n in self.bins)
+
+    def at(self, q: float) -> float:
+        left = int(self.n * q)
+        for k, n in self.bins:
+            left -= n
+            if left < 0:
+                return k
+        return self.bins[-1][0]
+
+
+def _words(half: int, text: str) -> Iterable[str]:
+    if repeats(text) > REPEATS:
+        return ()
+    return {s.lower() for kind, s in raw_units("\n".join(prose_lines(text))) if kind in ("word", "han")}
+
+
+def _line_grams(get: Callable[[], ProseModel]) -> Keys:
+    def keys(half: int, text: str) -> Iterable[str]:
+        if repeats(text) > REPEATS:
+            return ()
+        return [f"{half} {a} {b} {c}" for a, b, c in sequences(get().units("\n".join(prose_lines(text)))[0])]
+
+    return keys
+
+
+def _line_windows(get: Callable[[], tuple[ProseModel, ProseModel]]) -> Keys:
+    def keys(half: int, text: str) -> Iterable[str]:
+        if repeats(text) > REPEATS:
+            return ()
+        return [_bin(y) for _, y in get()[1 - half].windows("\n".join(prose_lines(text)))]
+
+    return keys
+
+
+def _page_grams(get: Callable[[], ProseModel]) -> Keys:
+    def keys(half: int, text: str) -> Iterable[str]:
+        if repeats(text) > REPEATS:
+            return ()
+        first = get()
+        u, size = first.units(text)
+        if first.share_of(u, size) > 1 - PROSE:
+            return ()
+        return [f"{half} {a} {b} {c}" for a, b, c in sequences(u)]
+
+    return keys
+
+
+def _page_windows(get: Callable[[], tuple[ProseModel, tuple[ProseModel, ProseModel]]]) -> Keys:
+    def keys(half: int, text: str) -> Iterable[str]:
+        if repeats(text) > REPEATS:
+            return ()
+        first, halves = get()
+        u, size = first.units(text)
+        if first.share_of(u, size) > 1 - PROSE:
+            return ()
+        return [_bin(y) for _, y in halves[1 - half].windows_of(u, size)]
+
+    return keys

@@ -7,15 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votemill.llm import bpe, mixing, prose
-from votemill.llm.common import SAMPLE_CHARS, Shipped, map_batches, sample_rows
+from votemill.llm.common import Shipped, count_keys, map_batches
 from votemill.session import checkpoint_dir
 from votemill.sources.tables import table
 
 
 def train_prose(documents: DataFrame) -> Shipped:
-    """The prose model, from a bounded sample of pages."""
-    pages = sample_rows(documents.select("doc_id", "text"), ["doc_id"], F.length("text").between(1, SAMPLE_CHARS), prose.SAMPLE_PAGES)
-    return Shipped(documents, prose.train([r.text for r in pages]))
+    """The prose model of all pages.
+
+    Pages are read once for each step of ``prose.fit``; what comes to the driver are the most
+    frequent words, the counts of unit sequences (whose units are a fixed set of words and
+    classes) and the bins of the percentiles.
+    """
+    pages = documents.where("text <> ''").select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), "text")
+
+    def count(keys: prose.Keys, top: int | None):
+        found = count_keys(pages, lambda batch: map(keys, batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        if top is not None:
+            found = found.orderBy(F.desc("n"), "key").limit(top)
+        got = found.toArrow()
+        for b in got.to_batches(max_chunksize=50_000):
+            yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+
+    return Shipped(documents, prose.fit(count, lambda model: Shipped(documents, model).get))
 
 
 def spam_shares(documents: DataFrame) -> DataFrame:
