@@ -112,6 +112,21 @@ def test_prose_model_counts_every_page(spark):
     assert (model.function, model.grams[2]) == (local.function, local.grams[2])
 
 
+def test_repertoire_counts_every_text_once(spark):
+    from votemill.llm import encoding, history_queries
+
+    said = [f"prüfung {i}" for i in range(21_000)] + ["prüfung 1"] * 5 + [None, "", "plain"]
+    long = "x " * 11_000 + "größe ß"
+    pages = [f"straße {i}" for i in range(1600)] + [long, "a ß", "a ß", None]
+    m = spark.createDataFrame([(i, 0, t) for i, t in enumerate(said)], "history_id bigint, commit_pos int, commit_message string")
+    docs = spark.createDataFrame(list(enumerate(pages)), "doc_id bigint, text string")
+    known = history_queries.train_mender(m, docs).get()
+    assert known.words == {"prüfung": 21_000, "straße": 1600} and known.grams["ü"] == 21_000 and known.grams["rüf"] == 21_000
+    assert known.grams["ö"] == 1
+    local = encoding.Repertoire.of([t for t in said + pages if t])
+    assert (known.grams, known.words, known.characters) == (local.grams, local.words, local.characters)
+
+
 def test_no_machine_local_checkpoints():
     root = Path(catalogue.__file__).parent.parent
     assert not [p for p in root.rglob("*.py") if "localCheckpoint(" in p.read_text()]

@@ -92,3 +92,9 @@ def count_keys(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[Iterable
 
 def _counted(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
+
+
+def collect_counts(counts: DataFrame) -> Iterator[tuple[str, int]]:
+    """The rows of key and n on the driver, without an object for each of them at once."""
+    for b in counts.toArrow().to_batches(max_chunksize=50_000):
+        yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())

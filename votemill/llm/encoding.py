@@ -12,8 +12,8 @@ restored to a sign or letter that does not stand alone in sound text; it is left
 that cannot be undone are found too: replacement characters, control characters of the C1
 range, and words turned into question marks.
 
-Training (``Repertoire``) takes a bounded sample of texts (``SAMPLE_MESSAGES``,
-``SAMPLE_PAGES``); the characters are cut at ``MOST_CHARACTERS`` by frequency.
+Training (``Repertoire``) counts all texts, each distinct one once; the characters are cut at
+``MOST_CHARACTERS`` by frequency.
 
 Edge cases: null, empty and ASCII texts are sound (but see question marks); a text of any
 length is read whole; repeated rows are judged alike; an empty corpus has no known trigrams,
@@ -24,11 +24,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from math import log10
 
-SAMPLE_MESSAGES = 20_000
-SAMPLE_PAGES = 1500
 MOST_CHARACTERS = 6000
 GAIN = 0.7  # how much more usual a restored word must be, in powers of ten
 FEW = 2  # a word is doubtful if one of its characters was seen so often or less where it stands
@@ -143,24 +142,55 @@ class Repertoire:
 
     @staticmethod
     def of(texts: list[str]) -> Repertoire:
-        grams: Counter = Counter()
-        follows: Counter = Counter()
-        words: Counter = Counter()
+        seen: Counter = Counter()
         for text in dict.fromkeys(texts):
-            before = ""
-            for word in tokens_of(text):
-                if not word.isascii():
-                    words[bare(word)] += 1
-                    for c, keys in _contexts(word):
-                        grams[c] += 1
-                        for k in keys:
-                            grams[k] += 1
-                    if len(word) == 1:
-                        follows[before, word.lower()] += 1
-                before = word.lower()
-        known = [c for c, n in grams.most_common() if len(c) == 1 and n > 1 and not "\x80" <= c <= "\x9f" and c != "�"][:MOST_CHARACTERS]
-        both = {x for c in known for x in (c, c.upper()) if len(x) == 1}
-        return Repertoire(dict(grams), dict(follows), {w: n for w, n in words.items() if n > 2}, sorted(both | set("–—‘’“”„…•→€«»°±½×µ©")))
+            seen.update(keys_of(marked(text)))
+        return Repertoire.from_counts(seen.items())
+
+    @staticmethod
+    def from_counts(counts: Iterable[tuple[str, int]]) -> Repertoire:
+        """From the counts of ``keys_of`` over all texts; single words of fewer than three and followers of fewer than two may be missing."""
+        grams: dict[str, int] = {}
+        follows: dict[tuple[str, str], int] = {}
+        words: dict[str, int] = {}
+        for key, n in counts:
+            kind, rest = key[0], key[1:]
+            if kind == GRAM:
+                grams[rest] = n
+            elif kind == WORD:
+                words[rest] = n
+            else:
+                before, word = rest.split("\n")
+                follows[before, word] = n
+        common = sorted((-n, c) for c, n in grams.items() if len(c) == 1 and n > 1 and not "\x80" <= c <= "\x9f" and c != "�")
+        both = {x for _, c in common[:MOST_CHARACTERS] for x in (c, c.upper()) if len(x) == 1}
+        return Repertoire(grams, follows, {w: n for w, n in words.items() if n > 2}, sorted(both | set("–—‘’“”„…•→€«»°±½×µ©")))
+
+
+GRAM, WORD, FOLLOWS = "g", "w", "f"
+
+
+def marked(text: str) -> list[str]:
+    """The words with other than ASCII characters, each after the word before it and a line end; all that is learned from."""
+    out, before = [], ""
+    for word in tokens_of(text):
+        if not word.isascii():
+            out.append(f"{before}\n{word}")
+        before = word.lower()
+    return out
+
+
+def keys_of(marked_words: Iterable[str]) -> Iterable[str]:
+    """What is counted of a text's marked words: grams, words, and single letters with the word before."""
+    for pair in marked_words:
+        before, word = pair.split("\n")
+        yield WORD + bare(word)
+        for c, keys in _contexts(word):
+            yield GRAM + c
+            for k in keys:
+                yield GRAM + k
+        if len(word) == 1:
+            yield f"{FOLLOWS}{before}\n{word.lower()}"
 
 
 class Mender:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votemill.llm import encoding, language, markup, pieces
-from votemill.llm.common import SAMPLE_CHARS, Shipped, map_batches, sample_rows
+from votemill.llm.common import SAMPLE_CHARS, Shipped, collect_counts, count_keys, map_batches, sample_rows
 from votemill.llm.text_queries import train_prose
 from votemill.operators.nested import first_deliveries
 from votemill.session import checkpoint_dir
@@ -20,11 +22,23 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_mender(m: DataFrame, documents: DataFrame) -> Shipped:
-    """What sound text looks like, from bounded samples of messages and pages."""
-    marked = F.col("commit_message").rlike(r"[^\x00-\x7F]") & (F.length("commit_message") <= SAMPLE_CHARS)
-    texts = [r.commit_message for r in sample_rows(m, ["history_id", "commit_pos"], marked, encoding.SAMPLE_MESSAGES)]
-    pages = sample_rows(documents.select("doc_id", "text"), ["doc_id"], F.length("text").between(1, SAMPLE_CHARS), encoding.SAMPLE_PAGES)
-    return Shipped(m, encoding.Repertoire.of(texts + [r.text for r in pages]))
+    """What sound text looks like, from all messages and pages with other than ASCII characters, each distinct text once.
+
+    Of a text only its words with such characters are moved, under the text's digest.  The
+    counts that decide nothing (see ``Repertoire``) do not come to the driver.
+    """
+    odd = F.col("text").rlike(r"[^\x00-\x7F]")
+    texts = m.select(F.col("commit_message").alias("text")).where(odd).unionByName(documents.select("text").where(odd))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest(), encoding.marked(t)) for t in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["text_id", "words"])
+
+    distinct = map_batches(texts, work, "text_id binary, words array<string>").groupBy("text_id").agg(F.first("words").alias("words"))
+    counts = count_keys(distinct.select("words"), lambda batch: map(encoding.keys_of, batch.column(0).to_pylist()))
+    kind = F.substring("key", 1, 1)
+    used = counts.where((kind == encoding.GRAM) | ((kind == encoding.WORD) & (F.col("n") > 2)) | ((kind == encoding.FOLLOWS) & (F.col("n") > 1)))
+    return Shipped(m, encoding.Repertoire.from_counts(collect_counts(used)))
 
 
 def mended(m: DataFrame, known: Shipped) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from votemill.llm import bpe, mixing, prose
-from votemill.llm.common import Shipped, count_keys, map_batches
+from votemill.llm.common import Shipped, collect_counts, count_keys, map_batches
 from votemill.session import checkpoint_dir
 from votemill.sources.tables import table
 
@@ -25,9 +25,7 @@ def train_prose(documents: DataFrame) -> Shipped:
         found = count_keys(pages, lambda batch: map(keys, batch.column(0).to_pylist(), batch.column(1).to_pylist()))
         if top is not None:
             found = found.orderBy(F.desc("n"), "key").limit(top)
-        got = found.toArrow()
-        for b in got.to_batches(max_chunksize=50_000):
-            yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+        return collect_counts(found)
 
     return Shipped(documents, prose.fit(count, lambda model: Shipped(documents, model).get))
 
