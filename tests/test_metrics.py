@@ -76,3 +76,18 @@ def test_gold_labels_outside_the_list(spark):
     got = {r["class"]: r for r in G.single(p, G.LEAVES).collect()}
     assert (got["additive"].tp, got["additive"].fn) == (0, 1) and got["corrective"].fp == 1
     assert got["additive"].accuracy == pytest.approx(1 / 3)
+
+
+def test_every_model_is_evaluated(spark, data):
+    from pyspark.sql import functions as F
+
+    from votemill.plans import catalogue
+    from votemill.sources.tables import table
+
+    r = table(spark, data, "recovered_20260714_204326").where("diff_id <> '' and primary_result.model is not null").select(F.col("diff_id").alias("item"), F.col("primary_result.model").alias("rater")).distinct()
+    want = {tuple(x) for x in r.collect()}
+    assert len({m for _, m in want}) > 3
+    assert {(x.item, x.rater) for x in catalogue.QUERIES["latest_records_all"](spark, data).collect()} == want
+    gold = {x.diff_id for x in table(spark, data, "gold_sheet").where("trim(diff_id) <> ''").collect()}
+    rated = {m: len({i for i, k in want if k == m} & gold) for _, m in want}
+    assert {x.rater: x["items"] for x in catalogue.QUERIES["gold_multilabel_overall_all"](spark, data).collect()} == {m: n for m, n in rated.items() if n}

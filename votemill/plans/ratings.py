@@ -9,6 +9,7 @@ from votemill.operators import gold as G
 from votemill.operators import votes as V
 from votemill.sources.tables import table
 
+#: The models of the aligned evaluation; the queries whose names end in _all evaluate every model of the ratings.
 MODELS = ("basalt:31b-cloud", "kestrel-ultra:cloud", "quillon:70b-cloud")
 _R = lambda c: F.round(c, 9).alias(c)
 
@@ -17,55 +18,58 @@ def _ratings(spark, d):
     return table(spark, d, "recovered_20260714_204326")
 
 
-def _latest(spark, d):
-    return G.latest(_ratings(spark, d), MODELS)
+def _latest(spark, d, models):
+    """The last records of some models, or of every named one."""
+    return G.latest(_ratings(spark, d), models).where("rater is not null")
 
 
-def _joined(spark, d):
-    """Gold items that all three models rated, with gold and predicted sets."""
-    p = V.aligned(_latest(spark, d).select("item", "rater", G.present(F.coalesce("scores", F.array().cast("array<struct<key:string,value:double>>"))).alias("pred"), "leaf"), len(MODELS))
+def _joined(spark, d, models):
+    """Gold items that all of ``models`` rated, or each model's own where that is None, with gold and predicted sets."""
+    p = _latest(spark, d, models).select("item", "rater", G.present(F.coalesce("scores", F.array().cast("array<struct<key:string,value:double>>"))).alias("pred"), "leaf")
+    if models:
+        p = V.aligned(p, len(models))
     return p.join(G.gold_sets(table(spark, d, "gold_sheet")), "item")
 
 
-def latest_records(spark, d):
-    """The last record of each diff and model: its category and the number of its labels."""
-    return _latest(spark, d).select("item", "rater", "label", F.coalesce(F.size(G.present(F.col("scores"))), F.lit(-1)).alias("labels"))
+def latest_records(spark, d, models=MODELS):
+    """The last record of each diff and model of the aligned evaluation: its category and the number of its labels."""
+    return _latest(spark, d, models).select("item", "rater", "label", F.coalesce(F.size(G.present(F.col("scores"))), F.lit(-1)).alias("labels"))
 
 
-def gold_multilabel_overall(spark, d):
-    o = G.overall(_joined(spark, d))
+def gold_multilabel_overall(spark, d, models=MODELS):
+    o = G.overall(_joined(spark, d, models))
     return o.select("rater", "items", *[_R(c) for c in o.columns[2:]])
 
 
-def gold_multilabel_per_label(spark, d):
-    return G.per_label(_joined(spark, d)).select("rater", "category", "tp", "fp", "fn", "support", *map(_R, ("precision", "recall", "f1")))
+def gold_multilabel_per_label(spark, d, models=MODELS):
+    return G.per_label(_joined(spark, d, models)).select("rater", "category", "tp", "fp", "fn", "support", *map(_R, ("precision", "recall", "f1")))
 
 
-def _single(spark, d, collapse):
-    j = _joined(spark, d).where("maintenance <> ''").select("rater", F.col("maintenance").alias("gold"), G.maintenance(F.col("leaf")).alias("pred"))
+def _single(spark, d, models, collapse):
+    j = _joined(spark, d, models).where("maintenance <> ''").select("rater", F.col("maintenance").alias("gold"), G.maintenance(F.col("leaf")).alias("pred"))
     if not collapse:
         return j, G.LEAVES
     base = lambda c: F.when(F.col(c).startswith("adaptive"), "adaptive").otherwise(F.col(c)).alias(c)
     return j.select("rater", base("gold"), base("pred")), tuple(dict.fromkeys(m[2] for m in G.MAINTENANCE))
 
 
-def gold_single_label(spark, d):
-    s = G.single(*_single(spark, d, False))
+def gold_single_label(spark, d, models=MODELS):
+    s = G.single(*_single(spark, d, models, False))
     return s.select("rater", "class", "tp", "fp", "fn", "support", *map(_R, ("precision", "recall", "f1", "accuracy")))
 
 
-def gold_single_base(spark, d):
-    s = G.single(*_single(spark, d, True))
+def gold_single_base(spark, d, models=MODELS):
+    s = G.single(*_single(spark, d, models, True))
     return s.select("rater", "class", "tp", "fp", "fn", "support", *map(_R, ("precision", "recall", "f1", "accuracy")))
 
 
-def gold_divergence_items(spark, d):
-    g = G.divergence(_joined(spark, d))
+def gold_divergence_items(spark, d, models=MODELS):
+    g = G.divergence(_joined(spark, d, models))
     return g.select("item", *map(_R, ("category_divergence", "maintenance_entropy", "maintenance_disagreement", "mean_error")), "unanimous_categories", "unanimous_maintenance")
 
 
-def gold_divergence_summary(spark, d):
-    s = G.divergence_summary(G.divergence(_joined(spark, d)))
+def gold_divergence_summary(spark, d, models=MODELS):
+    s = G.divergence_summary(G.divergence(_joined(spark, d, models)))
     return s.select("items", *[_R(c) for c in s.columns[1:]])
 
 
@@ -146,6 +150,7 @@ _FLEISS = """ic as (select {k}item, label, count(*) c from vv group by all), io
 mg as (select {k}sum(c) t, sum(c * c) s from (select {k}label, cast(sum(c) as double) c from ic join io using ({k}item) group by all) group by all), ob as (select {k}count(*) items, cast(max(m) as int) raters, avg((ss - m) / (m * (m - 1.0))) o, sum((m * m - ss) / (m - 1.0)) / sum(m) d from io group by all)
 """
 
+_BY_MODEL = (latest_records, gold_multilabel_overall, gold_multilabel_per_label, gold_single_label, gold_single_base, gold_divergence_items, gold_divergence_summary)
 QUERIES = {f.__name__: f for f in (latest_records, gold_multilabel_overall, gold_multilabel_per_label, gold_single_label, gold_single_base, gold_divergence_items, gold_divergence_summary, rating_agreement, maintenance_agreement, status_counts, three_level_distribution, flagged_records, category_argmax, repo_fallback)}
 SQL = {
     "latest_records": _L + "x as (select 1) select item, rater, label, cast(case when s is null then -1 else len(pred) end as int) labels from pp",
@@ -170,3 +175,24 @@ select category, count(*) n, count(distinct diff_id) diffs from k where q = 1 gr
     "repo_fallback": """with h as (select c.hash, min(repo) found from (select repo, unnest(acf_commits) c from git_history_diffs) where trim(c.hash) <> '' group by 1)
 select coalesce(nullif(trim(repo), ''), found, 'N/A') repo, count(*) n from recovered_20260714_204326 left join h on commit_hash = hash group by 1""",
 }
+
+#: Every model, each on the gold items it rated; an item of one model has no divergence.
+QUERIES |= {f"{f.__name__}_all": lambda spark, d, f=f: f(spark, d, None) for f in _BY_MODEL}
+_EVERY = {
+    "rater in ('basalt:31b-cloud', 'kestrel-ultra:cloud', 'quillon:70b-cloud')": "rater is not null",
+    " having count(distinct rater) = 3": "",
+    "from j x join j y on x.item = y.item and x.rater < y.rater group by 1": "from j x left join j y on x.item = y.item and x.rater < y.rater group by 1",
+    "avg(1 - case when len(list_distinct(list_concat(x.pred, y.pred))) = 0": "avg(1 - case when y.pred is null then null when len(list_distinct(list_concat(x.pred, y.pred))) = 0",
+    "abs(-sum(c / 3.0 * log2(c / 3.0))) h, 1 - max(c) / 3.0 dis": "abs(-sum(c / n * log2(c / n))) h, 1 - max(c / n) dis",
+    "(select item, leaf, count(*) c from j group by 1, 2)": "(select item, leaf, count(*) c, cast(sum(count(*)) over (partition by item) as double) n from j group by 1, 2)",
+    "count(*) over () n from dv)": "count(*) over () n from dv where cd is not null)",
+}
+
+
+def _every(sql: str) -> str:
+    for old, new in _EVERY.items():
+        sql = sql.replace(old, new)
+    return sql
+
+
+SQL |= {f"{f.__name__}_all": _every(SQL[f.__name__]) for f in _BY_MODEL}
