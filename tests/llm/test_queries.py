@@ -84,6 +84,15 @@ def test_mixture_keeps_caps_and_shares(spark):
     assert abs(sum(r.n_tokens for r in mix if r.source == "big") - 4600) <= 10 and sum(r.n_tokens for r in mix if r.source == "small") == 300
 
 
+def test_mixture_keeps_the_smallest_source(spark):
+    from votemill.llm import mixing
+
+    sized = spark.createDataFrame([(i, "big", 1000) for i in range(100)] + [(200, "tiny", 1), (201, "tiny", 2)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("big", 0.9, 1), ("tiny", 0.1, 2)], "source string, target_share double, max_repeats int")
+    mix = mixing.mixture(sized, mixing.totals(sized), targets, blocks=64).collect()
+    assert sorted((r.doc_id, r.repeat) for r in mix if r.source == "tiny") == [(200, 0), (200, 1), (201, 0), (201, 1)]
+
+
 def test_votes_take_the_latest_valid_rating(spark):
     from votemill.llm import consensus
 

@@ -71,7 +71,11 @@ def schedule(blocks: dict[str, int]) -> list[str]:
 
 
 def apportion(gives: dict[str, float], blocks: int = BLOCKS) -> dict[str, int]:
-    """Blocks of each source, by largest remainders; they add up to ``blocks`` unless nothing is given."""
+    """Blocks of each source, by largest remainders; they add up to ``blocks`` unless nothing is given.
+
+    A source that gives anything has a block, if need be one more than ``blocks``: without one
+    its documents would have no slot.
+    """
     total = sum(gives.values())
     if total <= 0:
         return {}
@@ -79,7 +83,7 @@ def apportion(gives: dict[str, float], blocks: int = BLOCKS) -> dict[str, int]:
     out = {s: int(x) for s, x in exact.items()}
     for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: blocks - sum(out.values())]:
         out[s] += 1
-    return out
+    return {s: max(n, 1) if exact[s] > 0 else n for s, n in out.items()}
 
 
 def mixture(sized: DataFrame, sums: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
