@@ -11,7 +11,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from votemill.llm import bpe, consensus, encoding, language, markup, mixing, pieces, prose
+from votemill.llm import bpe, consensus, encoding, language, markup, mixing, pieces, prose, units
 
 
 @pytest.fixture(scope="module")
@@ -187,6 +187,49 @@ def test_spam_is_held_apart_from_prose():
     assert not prose.train([]).is_spam("anything at all")
 
 
+def kinds_of(line):
+    return units.Block([line]).kind.tolist()
+
+
+def test_units_of_a_line():
+    sign = lambda c: units.SIGN_BASE + units.SIGNS.index(c)
+    assert kinds_of("https://a.example/b?c=1, www.x.org") == [units.URL, units.URL]
+    assert kinds_of('<a href="https://x.y">') == [units.TAG] and kinds_of("&nbsp; &") == [units.TAG, sign("&")]
+    assert kinds_of("src/core/main.py foo_bar CamelCase v2 3.5 2") == [units.ID] * 4 + [units.NUM] * 2
+    assert kinds_of("#tag --flag -x a - b")[:3] == [units.HASH, units.FLAG, units.FLAG] and kinds_of("a - b")[1] == sign("-")
+    assert kinds_of("\u65e5\u672c\u30c6") == [units.HAN, units.HAN, units.KANA]
+    b = units.Block(["Don\u2019t stop. don't"])
+    assert b.hash[0] == b.hash[3] and b.kind[2] == sign(".") and b.kind[0] != b.kind[3]
+    b = units.Block(["Prose here.\n```\ncode words\n```\nand  more", None or "", "x = a_b;\n"])
+    assert b.worded[[0, 2, 4]].tolist() == [True, False, True] and b.ended[[0, 4]].tolist() == [True, False] and not b.worded[b.page == 2].any()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab Zz\u00e9\u65e5_.,-/#<>&;:!'\"1\n\r`", max_size=60), max_size=6))
+def test_units_cover_every_sign_of_a_page_once(texts):
+    b = units.Block(texts)
+    assert b.size.sum() == sum(not ch.isspace() for t in texts for ch in t)
+    raw, at = units.raw(b)
+    one = [units.raw(units.Block([t]))[0] for t in texts]
+    assert [raw[i:j].tolist() for i, j in zip(at, at[1:])] == [x.tolist() for x in one]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(0, 2**36), st.integers(0, 10**6), max_size=60), st.lists(st.integers(0, 2**36), max_size=60))
+def test_lookup_is_a_dictionary(known, asked):
+    keys = np.array([*known, *asked], np.int64)
+    found = units.Lookup(np.array(list(known), np.int64), np.array(list(known.values()), np.int32), -1).find(keys)
+    assert found.tolist() == [known.get(k, -1) for k in keys.tolist()]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 2)), max_size=50))
+def test_seen_near_is_brute_force(rows):
+    rows = sorted(rows, key=lambda r: r[1])
+    h, page = np.array([r[0] for r in rows], np.uint32), np.array([r[1] for r in rows], np.int64)
+    assert units.seen_near(h, page, 4).tolist() == [r in rows[max(0, i - 4) : i] for i, r in enumerate(rows)]
+
+
 def test_messages_beat_the_majority():
     rnd = np.random.default_rng(3)
     n, c = 3000, len(consensus.CATEGORIES)

@@ -114,11 +114,17 @@ def test_prose_model_counts_every_page(spark):
     rare = "\n".join("Das ist " + " ".join("z" * 12 + chr(97 + i % 26) + chr(97 + i // 26) + c for c in "abcdef") + " und gut !" for i in range(200))
     texts = ["The parser is ready."] * 2500 + [rare, None, "", " "]
     assert len(rare) > 20_000
-    model = text_queries.train_prose(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).get()
-    assert model.grams[2]["<nl>", "<nl>"][2]["the"] == 2500
-    assert {"the", "parser", "is", "das", "ist", "und", "gut"} <= model.function
-    local = prose.train([t for t in texts if t])
-    assert (model.function, model.grams[2]) == (local.function, local.grams[2])
+    corpus = text_queries.SparkCorpus(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3))
+    local = prose.Corpus(texts)
+    words, mine = corpus.words(), local.words()
+    assert sorted(words) == sorted(mine) and len(words) == 8 + 6 * 200
+    corpus.pack(mine)
+    local.pack(mine)
+    both, counted = corpus.grams(prose.line_grams)[2], local.grams(prose.line_grams)[2]
+    assert dict(zip(both.tri, both.tri_n)) == dict(zip(counted.tri, counted.tri_n)) and max(both.tri_n) == 2500
+    assert dict(zip(both.ctx, both.ctx_kinds)) == dict(zip(counted.ctx, counted.ctx_kinds)) and dict(zip(both.pair, both.pair_n)) == dict(zip(counted.pair, counted.pair_n))
+    shares = {r.doc_id: r.spam_share for r in text_queries.spam_shares(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert len(shares) == len(texts) and shares[0] == shares[2501] == 0.0
 
 
 def test_repertoire_counts_every_text_once(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votemill.session import ship
+from votemill.session import checkpoint_dir, ship
 
 SAMPLE_CHARS = 20_000  # longer texts are not trained on (they are processed like any other)
+LOADED = 3  # models a worker keeps
 COUNTED = 200_000  # keys that a task holds before it hands on what it has counted
 
 
@@ -36,18 +38,19 @@ class Shipped:
 
     def __init__(self, df: DataFrame, model):
         self._b = df.sparkSession.sparkContext.broadcast(pickle.dumps(model, protocol=5))
+        self._key = uuid.uuid4().hex
         self._m = None
 
     def __getstate__(self):
-        return {"_b": self._b, "_m": None}
+        return {"_b": self._b, "_key": self._key, "_m": None}
 
     def get(self):
         if self._m is None:
-            key = id(self._b.value)
-            if key not in _loaded:
-                _loaded.clear()
-                _loaded[key] = pickle.loads(self._b.value)
-            self._m = _loaded[key]
+            if self._key not in _loaded:
+                while len(_loaded) >= LOADED:
+                    del _loaded[next(iter(_loaded))]
+                _loaded[self._key] = pickle.loads(self._b.value)
+            self._m = _loaded[self._key]
         return self._m
 
 
@@ -69,6 +72,14 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: nothing behind it is run twice, and it survives the loss of executors."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def count_keys(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[Iterable[str]]]) -> DataFrame:
     """key, n: how often ``keys`` gives a key over all rows of ``df``, which gives the keys of each row of a batch.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from votemill.llm import encoding, language, markup, pieces
 from votemill.llm.common import SAMPLE_CHARS, Shipped, collect_counts, count_keys, map_batches, sample_rows
+from votemill.llm.prose import MAINLY
 from votemill.llm.text_queries import train_prose
 from votemill.operators.nested import first_deliveries
 from votemill.session import checkpoint_dir
@@ -97,20 +98,19 @@ def _segments(df: DataFrame, unit: str, models: Shipped, known: Shipped | None =
         mender = encoding.mender(known) if known else None
         prose = prose_model.get() if prose_model else None
         labels = batch.column(3).to_pylist()
-        row: list[int] = []
-        found: list[tuple] = []
-        for i, text in enumerate(batch.column(4).to_pylist()):
-            if not text:
-                continue
-            if mender is not None and not text.isascii():
+        texts = batch.column(4).to_pylist()
+        every = []
+        for text in texts:
+            if mender is not None and text and not text.isascii():
                 text = mender.mend(text)[1]
-            got = language.stretches(model, text, kind)
-            if got and prose is not None:
-                own = {x[0] for x in got}
-                if (len(own) > 1 or language.code(labels[i]) not in own) and prose.is_spam(text):
-                    continue
-            row += [i] * len(got)
-            found += got
+            every.append(language.stretches(model, text, kind) if text else [])
+        if prose is not None:
+            doubt = [i for i, got in enumerate(every) if got and (len(own := {x[0] for x in got}) > 1 or language.code(labels[i]) not in own)]
+            for i, share in zip(doubt, prose.shares([texts[i] for i in doubt])):
+                if share > MAINLY:
+                    every[i] = []
+        row = [i for i, got in enumerate(every) for _ in got]
+        found = [x for got in every for x in got]
         take = pa.array(row, pa.int64())
         cols = [batch.column(k).take(take) for k in range(4)]
         names = ["unit", "record_id", "commit_pos", "file_pos", "label", "lang", "start", "end", "confidence", "sentences"]
