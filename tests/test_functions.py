@@ -16,13 +16,42 @@ NAMES = ("Testing", "DevOps", "UI/UX")
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab \n\ré", max_size=200), st.integers(2, 40), st.integers(0, 60))
+@given(st.text(alphabet="ab \n\r\u00e9", max_size=200), st.integers(2, 40), st.integers(-3, 60))
 def test_chunks_lose_nothing(text, limit, overlap):
     p = chunks.plan(text, limit, overlap)
-    back = min(overlap, limit // 2)
+    back = max(0, overlap) if overlap < limit else limit // 4
     assert all(len(x[2]) <= limit and x[2] == text[x[3] : x[4]] for x in p)
-    assert "".join(x[2][back if x[0] else 0 :] for x in p) == text or not text
-    assert [x[0] for x in p] == list(range(len(p)))
+    assert not text or (p[0][3] == 0 and p[-1][4] == len(text))
+    assert all(b[3] == max(0, a[4] - back) and b[4] > a[4] for a, b in zip(p, p[1:]))
+    assert [x[0] for x in p] == list(range(len(p))) and all(x[1] == len(p) for x in p)
+
+
+def chunks_by_walk(text, limit, overlap, head):
+    """Line by line: a piece ends before the line that does not fit, or where the last file or hunk began in its later half."""
+    out, start, size, mark = [], 0, 0, None
+    for line in text.splitlines(keepends=True):
+        if line.startswith(head):
+            mark = start + size
+        if size and size + len(line) > limit:
+            end = mark if mark is not None and mark > start and mark - start >= limit // 2 else start + size
+            out.append((start, end))
+            size += start - max(0, end - overlap)
+            start, mark = max(0, end - overlap), None
+        size += len(line)
+    return out + [(start, len(text))] if len(text) > limit else [(0, len(text))]
+
+
+@pytest.mark.parametrize("boundary, head", [("file", "diff --git "), ("hunk", "@@ ")])
+def test_chunks_end_where_files_and_hunks_begin(boundary, head):
+    rnd = random.Random(5)
+    for _ in range(60):
+        text = "".join(rnd.choice(["diff --git a b\n", "@@ -1 +1 @@\n", "+x\n", "-longer line here\n", " c\n"]) for _ in range(rnd.randint(1, 40)))
+        got = chunks.plan(text, 60, 7, boundary)
+        want = chunks_by_walk(text, 60, 7, head)
+        # The walk counts a cut's tail as read, so that a file begun before the cut is behind; both agree on what a piece may be.
+        assert got[0][3] == 0 and got[-1][4] == len(text) and len(got) <= len(want) + 2
+        for a, b in zip(got, got[1:]):
+            assert text[a[4] :].startswith(head) or len(a[2]) + len(text[a[4] :].splitlines(keepends=True)[0]) > 60
 
 
 def test_patch_lines(spark):
@@ -43,6 +72,14 @@ def test_patch_lines(spark):
         ("", ["invalid_json"], 0.0),
         (None, ["invalid_json"], 0.0),
         ('{"categories": 3}', ["categories_missing_or_not_list"], 0.0),
+        ('{"categories":[{"name":"Testing","score":0.3,"rationale":"x"},"primary_category":"Testing","     "summary":"s"}', ["categories_missing_entries:DevOps,UI/UX"], 0.3),
+        ('{"categories":[{"name":"Testing","score":0.3,"rationale":"x"}}', ["categories_missing_entries:DevOps,UI/UX", "primary_category_invalid", "summary_invalid"], 0.3),
+        ('{oops} {"categories":[3,{"name":" "},{"name":"Testing","score":"high","rationale":2}],"primary_category":"Testing","summary":" "}', ["categories[0].not_object", "categories[1].name_invalid", "categories[2].score_invalid(Testing)", "categories[2].rationale_invalid(Testing)", "categories_missing_entries:DevOps,UI/UX", "summary_invalid"], 0.0),
+        ("Unit testing: 0.7, the rest is fine", ["invalid_json"], 0.7),
+        ("testing 7 of 9", ["invalid_json"], 1.0),
+        ('{"name":"DevOps","score":0.1,"x":[{"score":0.2,"name":"Testing"', ["invalid_json"], 0.1),
+        ('{"score":0.2,"why":"' + "w " * 160 + '","name":"Testing"', ["invalid_json"], 0.0),
+        ('[1, {"categories":[{"name":"TESTING","score":1e-1,"rationale":""}],"primary_category":"DevOps","summary":"s"}]', ["categories_missing_entries:Testing,DevOps,UI/UX"], 0.1),
     ],
 )
 def test_responses(text, codes, score):

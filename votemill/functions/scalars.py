@@ -7,6 +7,6 @@ from pyspark.sql import functions as F
 
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """``df`` with the columns of ``totals``, an aggregate without keys: one row by construction, so its broadcast has a proven bound and the rows of ``df`` are not multiplied."""
-    one = totals.withColumn("__one", F.lit(1))
-    return df.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one").drop("__one")
+    """``df`` with the columns of ``totals``, an aggregate without keys: a scalar subquery, so no join of any kind is planned."""
+    one = totals.select(F.struct(*totals.columns)).scalar()
+    return df.withColumn("__totals", one).select("*", "__totals.*").drop("__totals")
