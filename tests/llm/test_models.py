@@ -55,6 +55,8 @@ def test_schedule_never_strays_a_block(blocks):
 
 def test_apportioned_blocks_add_up():
     assert mixing.apportion({"a": 1.0, "b": 1.0, "c": 1.0}, 10) == {"a": 4, "b": 3, "c": 3}
+    assert mixing.apportion({"big": 1e9, "t1": 1e5, "t2": 1e5}, 4096) == {"big": 4095, "t1": 1, "t2": 1}
+    assert mixing.slots_for({"a": 0.999, "b": 0.001}) == 8000 and mixing.slots_for({}) == mixing.FEWEST_SLOTS
     assert mixing.apportion({}, 10) == {} and mixing.apportion({"a": 0.0}, 5) == {}
 
 
@@ -205,7 +207,7 @@ def test_units_of_a_line():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet="ab Zz\u00e9\u65e5_.,-/#<>&;:!'\"1\n\r`", max_size=60), max_size=6))
+@given(st.lists(st.text(alphabet="ab Zz\u00e9\u65e5_.,-/#<>&;:!'\"1\n\r`", max_size=60), min_size=1, max_size=6))
 def test_units_cover_every_sign_of_a_page_once(texts):
     b = units.Block(texts)
     assert b.size.sum() == sum(not ch.isspace() for t in texts for ch in t)

@@ -68,29 +68,76 @@ def test_ids_of_null_and_empty_texts(spark, tmp_path):
     assert got[1] == got[2] == [] and len(got[3]) > 300_000 and 50256 not in got[3]
 
 
-def test_mixture_keeps_caps_and_shares(spark):
+def mix_by_hand(rows_, targets, slots):
+    """Each source's documents end to end, copy after copy, up to what it gives; a document lies in the block of its first token."""
+    from fractions import Fraction
+
+    from votemill.llm import mixing
+
+    total = sum(r[2] for r in rows_)
+    own = {}
+    for _, s, n in rows_:
+        if s is not None:
+            own[s.lower()] = own.get(s.lower(), 0) + n
+    shares = {s.lower(): x for s, x, _ in targets if x > 0}
+    order = mixing.schedule(mixing.apportion(shares, slots))
+    given, capped = {}, set()
+    for s, share, most in targets:
+        gives = min(share * total, most * own.get(s.lower(), 0))
+        if share * total > most * own.get(s.lower(), 0):
+            capped.add(s.lower())
+        given[s.lower()] = gives
+    return order, given, capped
+
+
+def test_mixture_is_that_of_brute_force(spark):
     from votemill.llm import mixing
 
-    rows_ = [(i, "Big" if i % 2 else "big", 10) for i in range(900)] + [(1000 + i, "small", 5) for i in range(20)] + [(5000, None, 3), (5001, "other", 97)]
+    rows_ = [(i, "Big" if i % 2 else "big", 10 + i % 7) for i in range(900)] + [(1000 + i, "small", 5) for i in range(20)] + [(5000, None, 3), (5001, "other", 97), (5002, "small", 0)]
+    goal = [("big", 0.5, 1), ("SMALL", 0.4, 3), ("none", 0.1, 2), ("zero", 0.0, 1)]
     sized = spark.createDataFrame(rows_, "doc_id bigint, source string, n_tokens bigint")
-    targets = spark.createDataFrame([("big", 0.5, 1), ("SMALL", 0.4, 3), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
-    plan = {r.source: r for r in mixing.plan(mixing.totals(sized), targets).collect()}
-    assert plan["big"].wanted == 4600 and not plan["big"].capped and plan["small"].capped and plan["small"].gives == 300 and plan["none"].capped
-    mix = mixing.mixture(sized, mixing.totals(sized), targets, blocks=64).collect()
-    uses = {}
-    for r in mix:
-        uses.setdefault(r.doc_id, []).append(r.repeat)
-    assert all(sorted(u) == list(range(len(u))) for u in uses.values()) and max(len(u) for d, u in uses.items() if 1000 <= d < 1020) == 3
-    assert abs(sum(r.n_tokens for r in mix if r.source == "big") - 4600) <= 10 and sum(r.n_tokens for r in mix if r.source == "small") == 300
-
-
-def test_mixture_keeps_the_smallest_source(spark):
+    p = mixing.plan(mixing.totals(sized), spark.createDataFrame(goal, "source string, target_share double, max_repeats int"))
+    order, given, capped = mix_by_hand(rows_, goal, 64)
+    slot, frames = mixing.frame(p, 64)
+    assert [r.source for r in slot.orderBy("slot").collect()] == order and frames == 1
+    assert {r.source for r in mixing.demand(p, frames, slot).where("not filled").collect()} == capped == {"small", "none"}
+    mix = mixing.mixture(sized, p, 64).orderBy("slot").collect()
+    assert {order[r.slot] == r.source for r in mix} == {True}
+    for s in ("big", "small"):
+        mine = [r for r in mix if r.source == s]
+        assert 0 <= sum(r.n_tokens for r in mine) - given[s] < 17
+        assert all(sorted(r.repeat for r in mine if r.doc_id == d) == list(range(sum(r.doc_id == d for r in mine))) for d in {r.doc_id for r in mine})
+        # At each slot the source has its share of what it gives, to less than a block and a document.
+        n = order.count(s)
+        for k in range(64):
+            so_far = sum(r.n_tokens for r in mine if r.slot <= k)
+            assert abs(so_far - given[s] * (k + 1) / 64) < given[s] / n + 17
+    out = {r.source: r for r in mixing.shares(p, mixing.mixture(sized, p, 64), spark.createDataFrame([(s,) for s in capped], "source string")).collect()}
+    for s, r in out.items():
+        assert r.tokens_given == sum(x.n_tokens for x in mix if x.source == s) and r.capped == (s in capped)
+    assert abs(sum(r.actual_share for r in out.values()) - 1) < 1e-12 and out["small"].repeats == 3
+
+
+@pytest.mark.parametrize("tiny", [0.1, 1e-5, 1e-9])
+def test_mixture_keeps_the_smallest_source(spark, tiny):
     from votemill.llm import mixing
 
     sized = spark.createDataFrame([(i, "big", 1000) for i in range(100)] + [(200, "tiny", 1), (201, "tiny", 2)], "doc_id bigint, source string, n_tokens bigint")
-    targets = spark.createDataFrame([("big", 0.9, 1), ("tiny", 0.1, 2)], "source string, target_share double, max_repeats int")
-    mix = mixing.mixture(sized, mixing.totals(sized), targets, blocks=64).collect()
-    assert sorted((r.doc_id, r.repeat) for r in mix if r.source == "tiny") == [(200, 0), (200, 1), (201, 0), (201, 1)]
+    targets = spark.createDataFrame([("big", 1 - tiny, 1), ("tiny", tiny, 2)], "source string, target_share double, max_repeats int")
+    p = mixing.plan(mixing.totals(sized), targets)
+    mix = mixing.mixture(sized, p).where("source = 'tiny'").collect()
+    assert mix and {(r.doc_id, r.repeat) for r in mix} <= {(200, 0), (200, 1), (201, 0), (201, 1)} and (len(mix) == 4 or tiny < 0.1)
+
+
+def test_frames_grow_with_the_corpus(spark):
+    from votemill.llm import mixing
+
+    sized = spark.createDataFrame([(i, "ab"[i % 2], 2**40) for i in range(64)], "doc_id bigint, source string, n_tokens bigint")
+    p = mixing.plan(mixing.totals(sized), spark.createDataFrame([("a", 0.25, 1), ("b", 0.75, 9)], "source string, target_share double, max_repeats int"))
+    slot, frames = mixing.frame(p)
+    assert frames * slot.count() * mixing.BLOCK_TOKENS >= 64 * 2**40 and slot.count() == mixing.FEWEST_SLOTS
+    mix = mixing.mixture(sized, p).collect()
+    assert max(r.slot for r in mix) < frames * slot.count() and sum(r.source == "b" for r in mix) == 48 and sum(r.source == "a" for r in mix) == 16
 
 
 def test_votes_take_the_latest_valid_rating(spark):

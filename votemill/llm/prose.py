@@ -37,7 +37,9 @@ MOST_GRAMS = 500_000
 SLICE = 1 << 16  # units worked on at once
 PROSE = 0.6  # least share of prose of the pages in the second fit
 WINDOW = 16  # units a window
-SPREAD = 1.8  # a window is abnormal this many times as far above the median as the 98th percentile of prose
+ABOVE = 0.9999  # a window is abnormal above what but one of ten thousand windows of prose reaches
+BELOW = 0.0005  # a window is abnormal below LOWER times what but so few windows of prose lie under
+LOWER = 0.6
 MOST_BITS = 6.0  # more than this is abnormal whatever the pages
 MAINLY = 0.5  # a page is flagged if more than this share of it is abnormal
 REPEATS = 0.4  # pages that repeat more of their words than this are not trained on
@@ -348,8 +350,7 @@ def fit(corpus: Corpus) -> ProseModel:
     if not len(both.tri):
         return ProseModel(function, first.grams)
     values = Percentiles(corpus.count(page_windows, (first, ProseModel(function, a), ProseModel(function, b))))
-    mid, up = values.at(0.5), values.at(0.98)
-    return ProseModel(function, both, values.at(0.0005) * 0.6, min(MOST_BITS, mid + SPREAD * (up - mid)))
+    return ProseModel(function, both, values.at(BELOW) * LOWER, min(MOST_BITS, values.at(ABOVE)))
 
 
 def train(texts: Iterable[str | None]) -> ProseModel:

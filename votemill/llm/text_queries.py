@@ -195,28 +195,33 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text")
 
 
-def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan; totals (a row a source) are written once, as both the own and the corpus total need them and the encoding is dear."""
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source and n_tokens of each document, the plan); both written once, as the encoding is dear and the plan (a row a source) is read by several steps."""
     checkpoint_dir(spark)
-    return mixing.plan(mixing.totals(_sized(spark, sf_dir)).checkpoint(), table(spark, sf_dir, "mix_targets"))
+    sized = written(_sized(spark, sf_dir))
+    return sized, mixing.plan(mixing.totals(sized), table(spark, sf_dir, "mix_targets")).checkpoint()
+
+
+def _capped(p: DataFrame) -> DataFrame:
+    """The sources that cannot fill all blocks the schedule gives them."""
+    slot, frames = mixing.frame(p)
+    return mixing.demand(p, frames, slot).where("not filled").select("source").distinct()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources whose target exceeds what their repeats can give."""
-    return _plan(spark, sf_dir).where("capped").select("source")
+    """Sources that leave blocks of the schedule empty: their target exceeds what their repeats can give."""
+    return _capped(_planned(spark, sf_dir)[1])
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares really reached, by source."""
-    p = _plan(spark, sf_dir)
-    return p.select("source", "docs", "tokens", "target_share", "max_repeats", "capped", F.round("gives", 3).alias("tokens_given"), F.round("actual_share", 9).alias("actual_share"), F.round("repeats", 9).alias("repeats"))
+    """The shares really reached, by source, counted from the rows of the mixture."""
+    sized, p = _planned(spark, sf_dir)
+    return mixing.shares(p, mixing.mixture(sized, p), _capped(p)).withColumns({c: F.round(c, 9) for c in ("actual_share", "repeats")})
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture itself, in slots."""
-    checkpoint_dir(spark)
-    sized = _sized(spark, sf_dir).checkpoint()  # ids and sizes only; the encoding is not repeated
-    return mixing.mixture(sized, mixing.totals(sized).checkpoint(), table(spark, sf_dir, "mix_targets"))
+    return mixing.mixture(*_planned(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
