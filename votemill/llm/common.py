@@ -1,4 +1,4 @@
-"""Samples for training and Arrow maps, shared by the operators on text."""
+"""Arrow maps, counts and models sent to the executors, shared by the operators on text."""
 
 from __future__ import annotations
 
@@ -13,26 +13,10 @@ from pyspark.sql import functions as F
 
 from votemill.session import checkpoint_dir, ship
 
-SAMPLE_CHARS = 20_000  # longer texts are not trained on (they are processed like any other)
 LOADED = 3  # models a worker keeps
 COUNTED = 200_000  # keys that a task holds before it hands on what it has counted
 
 
-def sample_rows(df: DataFrame, key: list[str], where: Column, n: int) -> list:
-    """At most ``n`` rows, the same at every run and whatever the partitioning: those with the smallest hashes of ``key``.
-
-    The bound makes the sample fit the driver at any corpus size.  The hashes are ranked on
-    the key columns alone, so the texts of other rows are neither sorted nor moved; rows that
-    repeat a key, however many, are one row before anything is collected.
-    """
-    h = F.xxhash64(*key)
-    cut = df.where(where).select(h.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    if cut is None:
-        return []
-    rows = df.where(where & (h <= F.lit(cut))).dropDuplicates(key).limit(n).collect()
-    return sorted(rows, key=lambda r: [str(r[k]) for k in key])
-
-
 class Shipped:
     """A trained model, pickled once and sent to the executors as a broadcast; its size is bounded by its training parameters."""
 
@@ -80,9 +64,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def count_keys(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[Iterable[str]]]) -> DataFrame:
+def count_keys(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[Iterable[str]]], weight: bool = False) -> DataFrame:
     """key, n: how often ``keys`` gives a key over all rows of ``df``, which gives the keys of each row of a batch.
 
+    With ``weight`` a row counts as often as its second column says.
+
     A task adds up what it reads and hands on partial sums, so that neither a frequent key nor
     many rows weigh on the shuffle, and no task holds more than ``COUNTED`` keys and a row's own.
     """
@@ -90,8 +76,13 @@ def count_keys(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[Iterable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for found in keys(batch):
-                seen.update(found)
+            times = batch.column(1).to_pylist() if weight else None
+            for i, found in enumerate(keys(batch)):
+                if times is None:
+                    seen.update(found)
+                else:
+                    for k in found:
+                        seen[k] += times[i]
                 if len(seen) > COUNTED:
                     yield _counted(seen)
                     seen.clear()

@@ -12,8 +12,8 @@ restored to a sign or letter that does not stand alone in sound text; it is left
 that cannot be undone are found too: replacement characters, control characters of the C1
 range, and words turned into question marks.
 
-Training (``Repertoire``) counts all texts, each distinct one once; the characters are cut at
-``MOST_CHARACTERS`` by frequency.
+Training (``Repertoire``) counts all texts, each distinct one once; every character seen more
+than once has its garbled forms in the automaton.
 
 Edge cases: null, empty and ASCII texts are sound (but see question marks); a text of any
 length is read whole; repeated rows are judged alike; an empty corpus has no known trigrams,
@@ -28,7 +28,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from math import log10
 
-MOST_CHARACTERS = 6000
 GAIN = 0.7  # how much more usual a restored word must be, in powers of ten
 FEW = 2  # a word is doubtful if one of its characters was seen so often or less where it stands
 SIGN = 0.03  # weight of the count of a sign against that of a letter
@@ -142,14 +141,19 @@ class Repertoire:
 
     @staticmethod
     def of(texts: list[str]) -> Repertoire:
-        seen: Counter = Counter()
+        first: Counter = Counter()
         for text in dict.fromkeys(texts):
-            seen.update(keys_of(marked(text)))
+            for pair in marked(text):
+                first.update(said(pair))
+        seen: Counter = Counter()
+        for key, n in first.items():
+            for k in keys_of(key):
+                seen[k] += n
         return Repertoire.from_counts(seen.items())
 
     @staticmethod
     def from_counts(counts: Iterable[tuple[str, int]]) -> Repertoire:
-        """From the counts of ``keys_of`` over all texts; single words of fewer than three and followers of fewer than two may be missing."""
+        """From the counts of ``said`` and then ``keys_of`` over all texts; single words of fewer than three and followers of fewer than two may be missing."""
         grams: dict[str, int] = {}
         follows: dict[tuple[str, str], int] = {}
         words: dict[str, int] = {}
@@ -163,7 +167,7 @@ class Repertoire:
                 before, word = rest.split("\n")
                 follows[before, word] = n
         common = sorted((-n, c) for c, n in grams.items() if len(c) == 1 and n > 1 and not "\x80" <= c <= "\x9f" and c != "�")
-        both = {x for _, c in common[:MOST_CHARACTERS] for x in (c, c.upper()) if len(x) == 1}
+        both = {x for _, c in common for x in (c, c.upper()) if len(x) == 1}
         return Repertoire(grams, follows, {w: n for w, n in words.items() if n > 2}, sorted(both | set("–—‘’“”„…•→€«»°±½×µ©")))
 
 
@@ -180,17 +184,25 @@ def marked(text: str) -> list[str]:
     return out
 
 
-def keys_of(marked_words: Iterable[str]) -> Iterable[str]:
-    """What is counted of a text's marked words: grams, words, and single letters with the word before."""
-    for pair in marked_words:
-        before, word = pair.split("\n")
-        yield WORD + bare(word)
-        for c, keys in _contexts(word):
-            yield GRAM + c
-            for k in keys:
-                yield GRAM + k
-        if len(word) == 1:
-            yield f"{FOLLOWS}{before}\n{word.lower()}"
+def said(pair: str) -> Iterable[str]:
+    """What is counted of a marked word first: the word, and a single letter with the word before it."""
+    before, word = pair.split("\n")
+    yield WORD + word
+    if len(word) == 1:
+        yield f"{FOLLOWS}{before}\n{word.lower()}"
+
+
+def keys_of(key: str) -> Iterable[str]:
+    """What is counted of each time something was ``said``: the bare word and its grams, or the letter and its word."""
+    if key[0] == FOLLOWS:
+        yield key
+        return
+    word = key[1:]
+    yield WORD + bare(word)
+    for c, keys in _contexts(word):
+        yield GRAM + c
+        for k in keys:
+            yield GRAM + k
 
 
 class Mender:

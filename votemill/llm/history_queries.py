@@ -5,11 +5,11 @@ from __future__ import annotations
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from votemill.llm import encoding, language, markup, pieces
-from votemill.llm.common import SAMPLE_CHARS, Shipped, collect_counts, count_keys, map_batches, sample_rows
+from votemill.llm.common import Shipped, collect_counts, count_keys, map_batches
 from votemill.llm.prose import MAINLY
 from votemill.llm.text_queries import train_prose
 from votemill.operators.nested import first_deliveries
@@ -36,7 +36,8 @@ def train_mender(m: DataFrame, documents: DataFrame) -> Shipped:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["text_id", "words"])
 
     distinct = map_batches(texts, work, "text_id binary, words array<string>").groupBy("text_id").agg(F.first("words").alias("words"))
-    counts = count_keys(distinct.select("words"), lambda batch: map(encoding.keys_of, batch.column(0).to_pylist()))
+    said = count_keys(distinct.select("words"), lambda batch: ((k for w in words for k in encoding.said(w)) for words in batch.column(0).to_pylist()))
+    counts = count_keys(said, lambda batch: map(encoding.keys_of, batch.column(0).to_pylist()), weight=True)
     kind = F.substring("key", 1, 1)
     used = counts.where((kind == encoding.GRAM) | ((kind == encoding.WORD) & (F.col("n") > 2)) | ((kind == encoding.FOLLOWS) & (F.col("n") > 1)))
     return Shipped(m, encoding.Repertoire.from_counts(collect_counts(used)))
@@ -79,10 +80,20 @@ _UNITS = "unit string, record_id bigint, commit_pos int, file_pos int, label str
 
 
 def train_languages(documents: DataFrame) -> Shipped:
-    """The language model, from a bounded sample of labelled documents."""
-    labelled = F.col("lang").isNotNull() & F.length("text").between(1, SAMPLE_CHARS)
-    rows = sample_rows(documents.select("doc_id", "lang", "text"), ["doc_id"], labelled, language.SAMPLE_TEXTS)
-    return Shipped(documents, language.train([(r.lang, r.text) for r in rows]))
+    """The language model, from a bounded sample of the labelled documents of each language: those with the smallest hashes of their ids.
+
+    The ranks are taken on ids alone, each task handing on no more than the sample; the ids
+    (``SAMPLE_TEXTS`` of each two-letter code) are then broadcast to where the texts are.
+    """
+    d = documents.where("text <> ''").select("doc_id", "text", label_code(F.col("lang")).alias("code")).where(F.col("code").rlike("^[a-z]{2}$"))
+    h = F.xxhash64("doc_id")
+    ids = d.select("doc_id", "code", h.alias("h")).distinct()
+    place = F.row_number().over(Window.partitionBy("code").orderBy("h", "doc_id"))
+    chosen = ids.withColumn("place", place).where(F.col("place") <= language.SAMPLE_TEXTS).select("doc_id", "code")
+    room = F.greatest(F.length("text") - language.SAMPLE_CHARS, F.lit(0)) + 1
+    passage = F.substring("text", F.pmod(h, room.cast("bigint")).cast("int") + 1, F.lit(language.SAMPLE_CHARS))
+    rows = d.join(F.broadcast(chosen), ["doc_id", "code"]).select("doc_id", "code", passage.alias("text")).dropDuplicates(["doc_id", "code"]).collect()
+    return Shipped(documents, language.train([(r.code, r.text) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.code))]))
 
 
 def _segments(df: DataFrame, unit: str, models: Shipped, known: Shipped | None = None, prose_model: Shipped | None = None) -> DataFrame:

@@ -7,29 +7,34 @@ down to 1).  A sentence has the language with the best sum, if it leads by ``MAR
 What is scored are sentences: lines are freed of markup, and names, paths, commands, flags,
 addresses and code are masked.  A text without a whole sentence is judged by its phrases.
 
-The model is trained on a bounded sample of labelled texts (``SAMPLE_TEXTS``), whose labels may
-be wrong and which may be mixed: after a first fit every sentence goes to the language it is
-most likely in, and the model is fitted again (``ROUNDS``).
+The model is trained on a bounded sample of labelled texts (``SAMPLE_TEXTS`` of each language),
+whose labels may be wrong and which may be mixed: after a first fit every sentence goes to the
+language it is most likely in, and the model is fitted again (``ROUNDS``).  A word's frequency
+is that among a language's sentences, not among its words: a sentence that stands in texts of
+all languages alike then speaks for none, whatever the languages' words are like.
 
 Edge cases: null, empty and blank texts, code, names and fragments have no language; texts
-of any length are read whole; an empty sample knows no language and gives no rows; a label
-that is no known code or name stands for a language of its own.
+of any length are read whole; an empty sample knows no language and gives no rows; every label
+that is a two-letter code, or the name or longer code of one, is learned; any other stands for a
+language of its own that no text is in.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
 from math import exp, log
+from typing import NamedTuple
 
-SAMPLE_TEXTS = 5000
+SAMPLE_TEXTS = 600
+SAMPLE_CHARS = 20_000  # of a longer text a passage of so many characters is trained on, wherever in the text
 ROUNDS = 2
 LONGEST = 4
 MARGIN = 3.0
 KNOWN = 0.6  # share of known words that a phrase needs where a text has no sentence
 LEAST_TEXTS = 3  # a language needs so many sampled texts to be learned
 MEMO = 100_000
+MEMO_CHARS = 300  # longer lines are not remembered
 
 # ISO 639-1 codes with their ISO 639-2 codes and English names.
 LANGUAGES = """
@@ -67,11 +72,13 @@ _END = re.compile(r"[.!?…。！？:]$")
 _EAST = "぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ"
 _WORD = re.compile(rf"[{_EAST}]+|(?:(?![{_EAST}])[^\W\d_])+(?:['’](?:(?![{_EAST}])[^\W\d_])+)*")
 _CODELIKE = re.compile(r"[{}<>=$;]|\w\(|\)\s*[{;]|^\s*(?:import|from|export|let|const|return|assert|SELECT|copy|tar|if)\b|\|\||&&|::|->")
+_MASKED = re.compile(r"[/_\\@#<\d]|\.[a-z]|[a-z][A-Z]|(?<!\w)-")  # without one of these _NAME finds nothing
+_CUT = re.compile(r"[。！？/|]|[.!?…][\s\"'”’»)*_~]")  # without one of these _SPLIT cuts nothing
+_EASTERN = re.compile(rf"[{_EAST}]")
 _DIFF_SKIP = ("@@", "diff --git", "+++ ", "--- ", "\\ No newline", "index ")
 
 
-@dataclass(slots=True)
-class Piece:
+class Piece(NamedTuple):
     """A sentence or phrase: its words, where its line lies, and whether it is whole."""
 
     words: tuple[str, ...]
@@ -94,9 +101,10 @@ def line_pieces(line: str) -> list[tuple[tuple[str, ...], bool, int]]:
     got = _pieces_memo.get(line)
     if got is None:
         got = _line_pieces(line)
-        if len(_pieces_memo) >= MEMO:
-            _pieces_memo.clear()
-        _pieces_memo[line] = got
+        if len(line) <= MEMO_CHARS:
+            if len(_pieces_memo) >= MEMO:
+                _pieces_memo.clear()
+            _pieces_memo[line] = got
     return got
 
 
@@ -119,14 +127,16 @@ def _line_pieces(line: str) -> list[tuple[tuple[str, ...], bool, int]]:
         if not n:
             break
     codelike = bool(_CODELIKE.search(s))
-    for part in _SPLIT.split(s):
+    for part in _SPLIT.split(s) if _CUT.search(s) else (s,):
         if not part:
             continue
         whole = bool(_END.search(part.rstrip(" \"'”’»)*_~")))
         if codelike and not whole:
             continue
-        words = tuple(w.lower() for w in _WORD.findall(_NAME.sub(" ", part)))
-        size = _size(words)
+        if _MASKED.search(part):
+            part = _NAME.sub(" ", part)
+        words = tuple(_WORD.findall(part.lower()))
+        size = _size(words) if _EASTERN.search(part) else len(words)
         if size >= 3:
             out.append((words, whole and not (codelike and size < 5), size))
     return out
@@ -154,7 +164,7 @@ def pieces(text: str | None, diff: bool = False) -> list[Piece]:
 
 
 class Languages:
-    """Log frequencies of words and character n-grams by language."""
+    """Log frequencies of words (among sentences) and of character n-grams by language."""
 
     def __init__(self, names: list[str], words: dict, grams: list[dict]):
         self.names, self.words, self.grams = names, words, grams
@@ -173,9 +183,10 @@ class Languages:
                 if rows:
                     got = tuple(sum(x) / len(rows) for x in zip(*rows))
                     break
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[w] = got
+            if len(w) <= MEMO_CHARS:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[w] = got
         return got
 
     def knows(self, words: tuple[str, ...]) -> bool:
@@ -192,9 +203,10 @@ class Languages:
         got = self.judged.get(words)
         if got is None:
             got = self._judge(words)
-            if len(self.judged) >= MEMO:
-                self.judged.clear()
-            self.judged[words] = got
+            if len(words) <= MEMO_CHARS // 6 and sum(map(len, words)) <= MEMO_CHARS:
+                if len(self.judged) >= MEMO:
+                    self.judged.clear()
+                self.judged[words] = got
         return got
 
     def _judge(self, words: tuple[str, ...]) -> tuple[str | None, float, float]:
@@ -209,11 +221,12 @@ def fit(sentences: list[tuple[str, tuple[str, ...]]]) -> Languages:
     names = sorted({lang for lang, _ in sentences})
     place = {n: i for i, n in enumerate(names)}
     counts: list[Counter] = [Counter() for _ in names]
+    number = [0] * len(names)
     for lang, words in sentences:
-        counts[place[lang]].update(words)
+        counts[place[lang]].update(set(words))
+        number[place[lang]] += 1
 
-    def table(per: list[Counter]) -> dict:
-        totals = [sum(c.values()) for c in per]
+    def table(per: list[Counter], totals: list[int]) -> dict:
         kinds = len(set().union(*per)) if per else 0
         base = [log(0.02 / (t + 0.02 * kinds + 1)) for t in totals]
         out: dict[str, list[float]] = {}
@@ -232,13 +245,13 @@ def fit(sentences: list[tuple[str, tuple[str, ...]]]) -> Languages:
                 for i in range(len(s) - n + 1):
                     g[s[i : i + n]] += 1
             per.append(g)
-        grams.append(table(per))
-    return Languages(names, table(counts), grams)
+        grams.append(table(per, [sum(c.values()) for c in per]))
+    return Languages(names, table(counts, number), grams)
 
 
 def train(texts: list[tuple[str | None, str]]) -> Languages:
     """The model of (label, text) pairs with labels as delivered."""
-    known = [(c, t) for label, t in texts if (c := code(label)) and c in CODES.values()]
+    known = [(c, t) for label, t in texts if (c := code(label)) and re.fullmatch("[a-z]{2}", c)]
     often = Counter(c for c, _ in known)
     sentences = [(c, p.words) for c, t in known if often[c] >= LEAST_TEXTS for p in dict.fromkeys((q.words, q.whole) for q in pieces(t)) for p in [Piece(p[0], 0, 0, p[1], 0)] if p.whole]
     model = fit(sentences)
