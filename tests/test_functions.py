@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -147,14 +148,16 @@ def test_readers(spark, tmp_path):
 
 def test_stream_resumes_without_repeats(spark, tmp_path):
     src, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
-    spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, v string").coalesce(1).write.parquet(src)
+    at = dt.datetime(2024, 1, 1)
+    kind = "id int, v string, t timestamp"
+    spark.createDataFrame([(1, "a", at), (1, "b", at), (2, "c", at)], kind).coalesce(1).write.parquet(src)
     def run():
-        s = P.once_per_id(spark.readStream.schema("id int, v string").parquet(src), "id")
+        s = P.once_per_id(spark.readStream.schema("id int, v string, t timestamp").parquet(src), "id", "t")
         q = s.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
         q.awaitTermination()
         return sorted(r.id for r in spark.read.parquet(out).collect())
     assert run() == [1, 2]
-    spark.createDataFrame([(2, "d"), (3, "e")], "id int, v string").coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([(2, "d", at), (3, "e", at)], kind).coalesce(1).write.mode("append").parquet(src)
     assert run() == [1, 2, 3]
 
 

@@ -10,7 +10,8 @@ parent by a prefix of its own key.  Places count null elements; -1 stands below
 Edge cases: a null, empty, blank or malformed payload has no rows; a null or empty list has no
 children; null elements are no rows but keep their place; an object (or for lines a string)
 where a list belongs is a list of one; deliveries repeated under one id count once, the first
-by time; rows with a null id share the id null.
+by time; deliveries without an id are never taken for repeats of each other unless time and
+content are equal.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from votemill.operators import structural
-from votemill.session import ship
+from votemill.session import ship, written
 
 PATH = ("acf_commits", "acf_files", "added_lines")
 POSITIONS = ("repo_pos", "commit_pos", "file_pos", "line_pos")
@@ -116,24 +117,32 @@ def once(positions: DataFrame) -> DataFrame:
     The shuffle moves places only, and repeats meet already before it (partial aggregation),
     so a record that arrives very often is no hot group.
     """
-    return positions.groupBy("record_id").agg(F.min(F.struct("delivered", "rows")).alias("m")).select("record_id", F.inline("m.rows"))
+    unnamed = F.when(F.col("record_id").isNull(), F.xxhash64("delivered", "rows"))
+    return positions.groupBy("record_id", unnamed.alias("__unnamed")).agg(F.min(F.struct("delivered", "rows")).alias("m")).select("record_id", F.inline("m.rows"))
+
+
+MOST_REPEATED = 1_000_000  # ids of repeated records are broadcast up to so many
 
 
 def first_deliveries(df: DataFrame, record: str, delivered: str) -> DataFrame:
-    """The rows of ``df`` (read from files) without repeated deliveries; no text is shuffled while repeats are few.
+    """The rows of ``df`` (read from files) without repeated deliveries.
 
-    Only records that repeat are looked up: the join's other side holds their ids and the
-    place of the first delivery, and AQE broadcasts it only below its size threshold.
+    Ids and places are read first, without texts; the ids that repeat, with the place of their
+    first delivery, are written to the shared folder and counted.  Up to ``MOST_REPEATED`` of
+    them are broadcast to where the texts are read, so no text is shuffled; beyond that the
+    join is left to AQE.  A null id repeats nothing.
     """
     spot = F.struct(F.col(delivered).alias("d"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.row_index").alias("i"))
-    marked = df.select("*", spot.alias("__spot"))
-    first = df.select(F.col(record).alias("__id"), spot.alias("__spot")).groupBy("__id").agg(F.min("__spot").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    joined = marked.join(first, F.col(record).eqNullSafe(F.col("__id")), "left")
+    ids = df.where(F.col(record).isNotNull()).select(F.col(record).alias("__id"), spot.alias("__spot"))
+    first = written(ids.groupBy("__id").agg(F.min("__spot").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
+    if first.count() <= MOST_REPEATED:
+        first = F.broadcast(first)
+    joined = df.select("*", spot.alias("__spot")).join(first, F.col(record) == F.col("__id"), "left")
     return joined.where("__first is null or __first = __spot").drop("__id", "__first", "__spot")
 
 
-def text_rows(df: DataFrame, record: str, text: str, path: tuple[str, ...] = PATH) -> DataFrame:
-    """Every row of every level with its scalar fields: record_id, places, ``fields`` (key to text), ``value`` of a scalar row.
+def text_rows(df: DataFrame, record: str, text: str, level: int, path: tuple[str, ...] = PATH) -> DataFrame:
+    """The rows of one level (0 for the top objects) with their scalar fields: record_id, places, ``fields`` (key to text), ``value`` of a scalar row.
 
     Scalars are given as text (strings unescaped, numbers and booleans as written), nulls
     as null; nested containers other than the levels stay as JSON text in ``fields``.
@@ -146,7 +155,7 @@ def text_rows(df: DataFrame, record: str, text: str, path: tuple[str, ...] = PAT
                 ix = structural.build(block)
                 levels = structural.linked_rows(ix, path)
                 kind = ix.kind() if len(ix.start) else np.zeros(0, np.uint8)
-                for k, (values, _) in enumerate(levels):
+                for k, (values, _) in [(level, levels[level])]:
                     key = _keys(ix, levels, k)
                     box = (kind[values] == 0x7B) | (kind[values] == 0x5B)
                     text_of: list[str | None] = [None] * len(values)

@@ -171,22 +171,42 @@ def stratified_sample(spark, d):
 
 
 def stream_dedup(spark, d):
-    """Events once per id, through a stream."""
-    return P.run_append(P.once_per_id(P.stream_of(spark, f"{d}/events.parquet").select("event_id", "event_type", "value"), "event_id"))
+    """Events once per id, through a stream; ids are forgotten a year after their time."""
+    e = P.stream_of(spark, f"{d}/events.parquet").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    return P.run_append(P.once_per_id(e, "event_id", "ts", "365 days").drop("ts"))
+
+
+def _event_stream(spark, d):
+    return P.stream_of(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_window_counts(spark, d):
     """Events by hour and type, through a stream with a watermark."""
-    return P.run_complete(P.window_counts(P.stream_of(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    n = P.run_closed(_event_stream(spark, d).select("ts", "event_type"), lambda e: P.window_counts(e, "ts", "event_type", "1 hour"), "ts")
+    return n.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 def stream_sessions(spark, d):
-    """Sessions of users, with pauses of 30 minutes, through a stream."""
-    return P.run_complete(P.sessions(P.stream_of(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "30 minutes")).select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
+    """Sessions of users, with pauses of 30 minutes, through a stream with a watermark."""
+    n = P.run_closed(_event_stream(spark, d).select("ts", "user_id"), lambda e: P.sessions(e, "ts", "user_id", "30 minutes"), "ts")
+    return n.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
+
+
+def stream_merged(spark, d):
+    """Events of two producers as one stream, each once per producer: rows by producer and type."""
+    e = _event_stream(spark, d).select("event_id", "event_type", "ts")
+    both = P.merged({"even": e.where("event_id % 2 = 0"), "odd": _event_stream(spark, d).select("event_id", "event_type", "ts").where("event_id % 2 <> 0")})
+    return P.run_append(P.once_per_id(both, "event_id", "ts", "365 days").drop("ts")).groupBy("producer", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def limiter_waits(spark, d):
+    """How long each event would wait where a type may have three events and values of 100 a quarter of an hour."""
+    e = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    return P.limiter_waits(e, "event_type", "ts", "value", "event_id", 3, 100.0, seconds=900).select("event_id", F.round("wait", 6).alias("wait"))
 
 
 chunk_aggregate, chunk_aggregate_mean, chunk_aggregate_any = _aggregated("max"), _aggregated("mean"), _aggregated("any")
-QUERIES = {f.__name__: f for f in (min_words, blank_profile, char_counts, duplicate_texts, json_scores, histogram_15, empirical_cdf, sliding_budget, lifecycle_pick, last_counts, ordered_types, log_lines, sheet_merge, worst_status, error_tags, chunk_plan, response_parse, stratified_sample, stream_dedup, stream_window_counts, stream_sessions)} | {"chunk_aggregate": chunk_aggregate, "chunk_aggregate_mean": chunk_aggregate_mean, "chunk_aggregate_any": chunk_aggregate_any}
+QUERIES = {f.__name__: f for f in (min_words, blank_profile, char_counts, duplicate_texts, json_scores, histogram_15, empirical_cdf, sliding_budget, lifecycle_pick, last_counts, ordered_types, log_lines, sheet_merge, worst_status, error_tags, chunk_plan, response_parse, stratified_sample, stream_dedup, stream_window_counts, stream_sessions, stream_merged, limiter_waits)} | {"chunk_aggregate": chunk_aggregate, "chunk_aggregate_mean": chunk_aggregate_mean, "chunk_aggregate_any": chunk_aggregate_any}
 
 _AG = "with r as (select diff_id item, category_scores s from recovered_20260714_204326 where diff_id is not null), n as (select item, count(s) n from r group by 1), e as (select item, unnest(map_entries(s)) e from r where s is not null), x as (select item, e.key category, max(e.value) hi, sum(e.value) t, max(cast(e.value >= 0.5 as double)) a from e where e.key in ('System Overview', 'AI Integration', 'Documentation', 'Architecture', 'Impl. Details', 'Build and Run', 'Testing', 'Conf.&Env.', 'DevOps', 'Development Process', 'Project Management', 'Maintenance', 'Debugging', 'Performance', 'Security', 'UI/UX') group by 1, 2) "
 SQL = {
@@ -215,6 +235,10 @@ select diff_id, md5(coalesce(m, nullif(n, ''))) digest from s left join r using
     "chunk_aggregate": _AG + "select item, category, round(hi, 9) score from x where hi > 0",
     "chunk_aggregate_mean": _AG + "select item, category, round(t / n, 9) score from x join n using (item) where t > 0",
     "chunk_aggregate_any": _AG + "select item, category, a score from x where a > 0",
+    "stream_merged": "select case when event_id % 2 = 0 then 'even' else 'odd' end producer, event_type, count(distinct event_id) n from events group by 1, 2",
+    "limiter_waits": """with e as (select *, epoch_us(ts) t from events), w as (select a.event_id, a.t, a.value c, b.t bt, b.event_id bid, b.value bc from e a left join e b on a.event_type = b.event_type and (b.t < a.t or (b.t = a.t and b.event_id < a.event_id)) and b.t > a.t - 900000000),
+s as (select *, sum(bc) over (partition by event_id order by bt, bid) freed, sum(bc) over (partition by event_id) held, count(bt) over (partition by event_id) n, min(bt) over (partition by event_id) oldest from w)
+select event_id, round(greatest(case when any_value(n) >= 3 then (any_value(oldest) + 900000000 - any_value(t)) / 1e6 + 0.05 else 0 end, coalesce((min(bt) filter (coalesce(held, 0) + c > 100 and freed >= held + c - 100) + 900000000 - any_value(t)) / 1e6 + 0.05, 0)), 6) wait from s group by event_id""",
     "stream_dedup": "select distinct event_id, event_type, value from events",
     "stream_window_counts": "select time_bucket(interval '1 hour', ts) \"start\", event_type, count(*) n from events group by 1, 2",
     "stream_sessions": """with a as (select user_id, ts, case when ts >= lag(ts) over w + interval '30 minutes' or lag(ts) over w is null then 1 else 0 end b from events window w as (partition by user_id order by ts)), g as (select *, sum(b) over (partition by user_id order by ts) s from a)

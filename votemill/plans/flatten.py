@@ -21,14 +21,15 @@ def _typed(spark: SparkSession, sf_dir: str, **fields: tuple[str, ...]) -> DataF
     return nested.first_deliveries(histories(spark, sf_dir, repo=repo, **fields), "history_id", "delivered_at").withColumnRenamed("history_id", "record_id")
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.text_rows(nested.first_deliveries(table(spark, sf_dir, "history_raw"), "record_id", "received_at"), "record_id", "payload")
+def _raw(spark: SparkSession, sf_dir: str, level: int) -> DataFrame:
+    """The rows of one level of the payloads."""
+    return nested.text_rows(nested.first_deliveries(table(spark, sf_dir, "history_raw"), "record_id", "received_at"), "record_id", "payload", level)
 
 
 def p1_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of repositories: one row per repository object of a delivery."""
     typed = _typed(spark, sf_dir, repo=("repo", "total_diffs_found")).select("record_id", F.lit(0).alias("repo_pos"), "repo", "total_diffs_found")
-    raw = _raw(spark, sf_dir).where("commit_pos < 0").select("record_id", "repo_pos", F.col("fields")["repo"].alias("repo"), F.expr("try_cast(fields['total_diffs_found'] as int)").alias("total_diffs_found"))
+    raw = _raw(spark, sf_dir, 0).select("record_id", "repo_pos", F.col("fields")["repo"].alias("repo"), F.expr("try_cast(fields['total_diffs_found'] as int)").alias("total_diffs_found"))
     return typed.unionByName(raw)
 
 
@@ -37,7 +38,7 @@ def p1_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("hash", "base_sha", "commit_author", "commit_date", "commit_message")
     typed = _typed(spark, sf_dir, commit=names).select("record_id", F.lit(0).alias("repo_pos"), F.posexplode("acf_commits").alias("commit_pos", "c")).where("c is not null").select("record_id", "repo_pos", "commit_pos", "c.*")
     m = F.col("fields")
-    raw = _raw(spark, sf_dir).where("commit_pos >= 0 and file_pos < 0").select("record_id", "repo_pos", "commit_pos", *[m[n].alias(n) for n in names[:-1]], F.coalesce(m["commit_message"], m["message"]).alias("commit_message"))
+    raw = _raw(spark, sf_dir, 1).select("record_id", "repo_pos", "commit_pos", *[m[n].alias(n) for n in names[:-1]], F.coalesce(m["commit_message"], m["message"]).alias("commit_message"))
     return typed.unionByName(raw)
 
 
@@ -48,7 +49,7 @@ def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = commits.select("record_id", "repo_pos", "commit_pos", F.posexplode("c.acf_files").alias("file_pos", "f")).where("f is not null").select("record_id", "repo_pos", "commit_pos", "file_pos", "f.*")
     kinds = {"additions": "int", "deletions": "int", "changes": "int"}
     fields = [F.expr(f"try_cast(fields['{n}'] as {kinds[n]})").alias(n) if n in kinds else F.col("fields")[n].alias(n) for n in names]
-    raw = _raw(spark, sf_dir).where("file_pos >= 0 and line_pos < 0").select("record_id", "repo_pos", "commit_pos", "file_pos", *fields)
+    raw = _raw(spark, sf_dir, 2).select("record_id", "repo_pos", "commit_pos", "file_pos", *fields)
     return typed.unionByName(raw)
 
 
@@ -57,7 +58,7 @@ def p1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = _typed(spark, sf_dir, file=("added_lines",)).select("record_id", F.lit(0).alias("repo_pos"), F.posexplode("acf_commits").alias("commit_pos", "c"))
     files = commits.select("record_id", "repo_pos", "commit_pos", F.posexplode("c.acf_files").alias("file_pos", "f"))
     typed = files.select("record_id", "repo_pos", "commit_pos", "file_pos", F.posexplode("f.added_lines").alias("line_pos", "line")).where("line is not null")
-    raw = _raw(spark, sf_dir).where("line_pos >= 0").select("record_id", "repo_pos", "commit_pos", "file_pos", "line_pos", F.col("value").alias("line"))
+    raw = _raw(spark, sf_dir, 3).select("record_id", "repo_pos", "commit_pos", "file_pos", "line_pos", F.col("value").alias("line"))
     return typed.unionByName(raw)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,8 +32,9 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a temporary folder made and set.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master is
+    local (tests on one machine) is a temporary folder made and set.  A cluster without one is
+    refused, as its nodes would each write to a disk of their own.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -40,11 +42,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
         named = "file://" + tempfile.mkdtemp(prefix="votemill-ckpt-", dir=os.environ.get("TMPDIR"))
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: nothing behind it is run twice, and it survives the loss of executors."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers.
 
