@@ -61,17 +61,21 @@ def test_apportioned_blocks_add_up():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab \n@+-#é。.=\r", max_size=300), st.integers(2, 60), st.integers(0, 80))
+@given(st.text(alphabet="ab \n@+-#\u00e9\u3002.=\r*", max_size=300), st.integers(2, 60), st.integers(-2, 59))
 def test_pieces_join_and_overlap(text, limit, overlap):
+    if overlap >= limit:
+        with pytest.raises(ValueError):
+            pieces.cuts(text, limit, overlap)
+        return
     cut = pieces.cuts(text, limit, overlap) if text else []
     assert "".join(text[a:b] for a, b in cut) == text
     p = pieces.split(text, limit, overlap)
-    back = min(overlap, limit // 2)
+    back = max(0, overlap)
     assert bool(p) == (len(text) > limit)
     for x in p:
-        assert len(x[2]) <= limit
+        assert len(x[2]) <= limit and x[2] == text[x[0] : x[1]]
     for x, y in zip(p, p[1:]):
-        assert y[2].startswith(x[2][len(x[2]) - back :] if back else "")
+        assert x[1] - y[0] == back and len(x[2]) >= back
 
 
 def test_pieces_cut_at_hunks():
@@ -81,6 +85,32 @@ def test_pieces_cut_at_hunks():
         assert text[b:].startswith("@@ ")
 
 
+def diff_file(name, lines):
+    return f"diff --git {name} {name}\n@@ -1 +1 @@\n" + "".join(f"+{name} {i}\n" for i in range(lines))
+
+
+def test_pieces_hold_whole_files_or_parts_of_one():
+    rnd = random.Random(8)
+    for _ in range(200):
+        files = [diff_file(chr(97 + k), rnd.choice([1, 2, 3, 30])) for k in range(rnd.randint(2, 7))]
+        text = "".join(files)
+        edge = [0]
+        for f in files:
+            edge.append(edge[-1] + len(f))
+        for a, b in pieces.cuts(text, 90, rnd.choice([0, 10, 30])):
+            touched = [k for k in range(len(files)) if a < edge[k + 1] and b > edge[k]]
+            assert len(touched) == 1 or all(edge[k] >= a and edge[k + 1] <= b for k in touched)
+            assert not text[a:b].rstrip("\n").split("\n")[-1].startswith(("diff --git", "@@"))
+
+
+def test_pieces_merge_whole_siblings_only():
+    text = "# A\n" + "one two.\n" * 3 + "\n# B\n" + "".join(f"word{i} here.\n" for i in range(40)) + "\n# C\nend.\n# D\nend.\n"
+    parts = [text[a:b] for a, b in pieces.cuts(text, 120, 0)]
+    assert parts[0].startswith("# A") and "# B" not in parts[0]  # B is opened, so A stands alone
+    assert parts[1].startswith("# B\nword0") and parts[-1] == "# C\nend.\n# D\nend.\n"
+    assert all(p.endswith("\n") and len(p) <= 120 for p in parts)
+
+
 @pytest.mark.parametrize(
     "line, families",
     [
@@ -106,10 +136,19 @@ def test_markup_ignores_removed_lines_and_code_blocks():
 
 def test_markup_clean_keeps_structure():
     patch = "@@ -0,0 +1,9 @@\n+<h2>Head</h2>\n+* one\n+== Wiki ==\n+\\item two\n+$$\\frac{a}{b}$$\n+see [x](y) and **z**&nbsp;!\n+```py\n+a = 1\n+```"
-    out = markup.clean(patch, set(markup.page_paths(patch)))
+    out = markup.clean(patch)
     assert out.split("\n") == ["## Head", "- one", "## Wiki", "- two", "$\\frac{a}{b}$", "see x and z !", "```", "a = 1", "```"]
 
 
+def test_markup_paths_name_their_containers():
+    patch = "@@ -0,0 +1,9 @@\n+<ul class=menu12>\n+<li>one &lt; two\n+</ul>\n+{| class=x\n+! head\n+|}\n+\\begin{itemize}\n+\\item x\n+\\end{itemize}\n+- **a**"
+    assert {p for _, p in markup.page_paths(patch)} == {"html/text/ul.menu0", "html/ul.menu0/li", "html/li/escape", "wiki/text/table", "wiki/table/cell", "wiki/text/table", "latex/text/itemize", "latex/itemize/command", "latex/itemize/item", "latex/text/command", "markdown/page/list", "markdown/list/strong"}
+    lost = frozenset({("html", "html/ul.menu0/li")})
+    assert {p for f, p in markup.page_paths(patch, lost) if f == "html"} == {"html/text/ul.menu0", "html/ul.menu0/escape"}
+    twice = markup.page_paths("+a &lt; b\n+c &gt; d")
+    assert twice == {("html", "html/text/escape"): 0.75}
+
+
 WORDS = {"de": "der die das und nicht mit für über prüfung größe ändern können müssen schließen straße".split(), "fr": "le la les et pas avec pour été déjà vérifier côté élève français être où".split()}
 
 

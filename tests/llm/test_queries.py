@@ -189,6 +189,27 @@ def test_repertoire_counts_every_text_once(spark):
     assert (known.grams, known.words, known.characters) == (local.grams, local.words, local.characters)
 
 
+def test_host_votes_decide(spark, tmp_path):
+    from votemill.llm import history_queries, markup
+
+    file = lambda text: {"patch": "@@ -0,0 +1 @@\n+" + text}
+    repo = lambda i, name, *texts: (i, name, [{"acf_files": [file(t) for t in texts]}])
+    kind = "history_id bigint, repo string, acf_commits array<struct<acf_files: array<struct<patch: string>>>>"
+    rows_ = [repo(1, "many", "use a &lt; b", "or c &gt; d", "plain"), repo(2, "one", "use a &lt; b"), repo(3, None, "use a &lt; b"), repo(4, None, "c &gt; d"), repo(5, "sure", "&lt; <b>x</b>"), repo(6, "list", "- x &amp; y")]
+    d = tmp_path / "sf"
+    spark.createDataFrame(rows_, kind).write.parquet(f"{d}/git_history_diffs.parquet")
+    found = {tuple(r) for r in history_queries.p5_found(spark, str(d)).collect()}
+    want = {(1, 0, 0, "html"), (1, 0, 1, "html"), (3, 0, 0, "html"), (4, 0, 0, "html"), (5, 0, 0, "html"), (6, 0, 0, "markdown")}
+    assert found == want  # without the vote, (2, 0, 0, "html") and (6, 0, 0, "html") would be found, or none of the weak ones
+    old = history_queries.MOST_LOST
+    history_queries.MOST_LOST = 1
+    try:
+        assert {tuple(r) for r in history_queries.p5_found(spark, str(d)).collect()} == want
+    finally:
+        history_queries.MOST_LOST = old
+    assert markup.clean("+a &lt; b", frozenset({("html", "html/text/escape")})) == "a &lt; b"
+
+
 def test_no_machine_local_checkpoints():
     root = Path(catalogue.__file__).parent.parent
     assert not [p for p in root.rglob("*.py") if "localCheckpoint(" in p.read_text()]

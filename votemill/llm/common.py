@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votemill.session import checkpoint_dir, ship
+from votemill.session import ship, written  # noqa: F401
 
 LOADED = 3  # models a worker keeps
 COUNTED = 200_000  # keys that a task holds before it hands on what it has counted
@@ -56,14 +56,6 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Reco
     return df.mapInArrow(run, schema)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: nothing behind it is run twice, and it survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def count_keys(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterable[Iterable[str]]], weight: bool = False) -> DataFrame:
     """key, n: how often ``keys`` gives a key over all rows of ``df``, which gives the keys of each row of a batch.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -9,11 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from votemill.llm import encoding, language, markup, pieces
-from votemill.llm.common import Shipped, collect_counts, count_keys, map_batches
+from votemill.llm.common import Shipped, collect_counts, count_keys, map_batches, written
 from votemill.llm.prose import MAINLY
 from votemill.llm.text_queries import train_prose
 from votemill.operators.nested import first_deliveries
-from votemill.session import checkpoint_dir
 from votemill.sources.tables import commit_units, file_units, histories, table
 
 
@@ -183,29 +183,31 @@ def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).drop("label").withColumn("confidence", F.round("confidence", 6)).distinct()
 
 
-def _limits(spark: SparkSession, sf_dir: str) -> tuple[int, int] | None:
-    """(max_chars, overlap_chars) of the first profile by name; the table has one row."""
-    row = table(spark, sf_dir, "chunk_limits").where("max_chars is not null").orderBy("profile").first()
-    return (row.max_chars, row.overlap_chars or 0) if row else None
+def _limits(spark: SparkSession, sf_dir: str) -> list[tuple[str | None, int, int]]:
+    """(profile, max_chars, overlap_chars) of each profile; a table of settings, whose profiles without a limit count for none."""
+    rows = table(spark, sf_dir, "chunk_limits").where("max_chars is not null").distinct().collect()
+    return sorted(((r.profile, r.max_chars, r.overlap_chars or 0) for r in rows), key=str)
 
 
-def _pieces(df: DataFrame, limits: tuple[int, int], with_text: bool) -> DataFrame:
-    """unit, record_id, commit_pos, file_pos, piece_index, piece_total, char_start, char_end (and text) of texts above the limit."""
-    most, back = limits
-    text_field = ", text string" if with_text else ""
+_PIECE = "profile string, unit string, record_id bigint, commit_pos int, file_pos int, piece_index int, piece_total int, char_start int, char_end int"
+
+
+def _pieces(df: DataFrame, limits: list[tuple[str | None, int, int]], with_text: bool) -> DataFrame:
+    """profile, unit, record_id, commit_pos, file_pos, piece_index, piece_total, char_start, char_end (and text) of texts above a profile's limit."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [pieces.split(t, most, back) for t in batch.column(4).to_pylist()]
-        take = pa.array([i for i, g in enumerate(got) for _ in g], pa.int64())
-        cols = [batch.column(k).take(take) for k in range(4)]
-        num = [pa.array(x, pa.int32()) for x in ([k for g in got for k in range(len(g))], [len(g) for g in got for _ in g], [x[0] for g in got for x in g], [x[1] for g in got for x in g])]
-        names = ["unit", "record_id", "commit_pos", "file_pos", "piece_index", "piece_total", "char_start", "char_end"]
+        got = [(i, name, pieces.split(t, most, back)) for i, t in enumerate(batch.column(4).to_pylist()) for name, most, back in limits]
+        take = pa.array([i for i, _, g in got for _ in g], pa.int64())
+        cols = [pa.array([name for _, name, g in got for _ in g], pa.string()), *[batch.column(k).take(take) for k in range(4)]]
+        num = [pa.array(x, pa.int32()) for x in ([k for _, _, g in got for k in range(len(g))], [len(g) for _, _, g in got for _ in g], [x[0] for _, _, g in got for x in g], [x[1] for _, _, g in got for x in g])]
+        names = ["profile", "unit", "record_id", "commit_pos", "file_pos", "piece_index", "piece_total", "char_start", "char_end"]
         if with_text:
-            return pa.RecordBatch.from_arrays([*cols, *num, pa.array([x[2] for g in got for x in g], pa.string())], names=[*names, "text"])
+            return pa.RecordBatch.from_arrays([*cols, *num, pa.array([x[2] for _, _, g in got for x in g], pa.string())], names=[*names, "text"])
         return pa.RecordBatch.from_arrays([*cols, *num], names=names)
 
-    large = df.where(F.length("text") > most).select("unit", "record_id", "commit_pos", "file_pos", "text")
-    return map_batches(large, work, f"unit string, record_id bigint, commit_pos int, file_pos int, piece_index int, piece_total int, char_start int, char_end int{text_field}")
+    least = min((most for _, most, _ in limits), default=2**31 - 1)
+    large = df.where(F.length("text") > least).select("unit", "record_id", "commit_pos", "file_pos", "text")
+    return map_batches(large, work, _PIECE + (", text string" if with_text else ""))
 
 
 def _oversized(h: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -214,18 +216,34 @@ def _oversized(h: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patches and chunks above the limit, each with its pieces made; repeated deliveries once."""
-    limits = _limits(spark, sf_dir) or (2**31 - 1, 0)
+    """Patches and chunks above a limit, each with its pieces made; repeated deliveries once."""
     texts = _oversized(histories(spark, sf_dir, file=("patch",)), table(spark, sf_dir, "diffchunk"))
-    return _pieces(texts, limits, with_text=False).where("piece_index = 0 and piece_total > 1").select("unit", "record_id", "commit_pos", "file_pos").distinct()
+    return _pieces(texts, _limits(spark, sf_dir), with_text=False).where("piece_index = 0 and piece_total > 1").select("unit", "record_id", "commit_pos", "file_pos").distinct()
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces with their texts; of repeated rows the first."""
-    limits = _limits(spark, sf_dir) or (2**31 - 1, 0)
+    """The pieces with their texts, by profile; of repeated rows the first."""
     h = first_deliveries(histories(spark, sf_dir, repo=("delivered_at",), file=("patch",)), "history_id", "delivered_at")
     chunks = first_deliveries(table(spark, sf_dir, "diffchunk"), "chunk_id", "chunk_index")
-    return _pieces(_oversized(h, chunks), limits, with_text=True)
+    return _pieces(_oversized(h, chunks), _limits(spark, sf_dir), with_text=True)
+
+
+def p4_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each text come to: the digest of the text they join to, and whether all keep the limit, the overlap and the line ends.
+
+    A text's pieces meet in one row, which is no longer than the text.
+    """
+    p = p4_pieces(spark, sf_dir)
+    limits = F.create_map(*[F.lit(x) for name, most, back in _limits(spark, sf_dir) for x in (name or "", F.struct(F.lit(most).alias("most"), F.lit(back).alias("back")))] or [F.lit(""), F.struct(F.lit(0).alias("most"), F.lit(0).alias("back"))])
+    key = ["profile", "unit", "record_id", "commit_pos", "file_pos"]
+    g = p.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("piece_index", "char_start", "char_end", "text"))).alias("p")).withColumn("l", F.try_element_at(limits, F.coalesce("profile", F.lit(""))))
+    earlier = lambda i: F.get("p", i - 1)
+    new = F.transform("p", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.substring(x["text"], earlier(i)["char_end"] - x["char_start"] + 1, F.lit(2**31 - 1))))
+    overlap = F.forall(F.transform("p", lambda x, i: (i == 0) | (F.coalesce(earlier(i)["char_end"], F.lit(0)) - x["char_start"] == F.col("l.back")) & F.endswith(F.coalesce(earlier(i)["text"], F.lit("")), F.substring(x["text"], F.lit(1), F.col("l.back")))), lambda x: x)
+    # A cut that is no line end lies in a line longer than a piece: neither of the parts it divides holds another line whole.
+    room = F.col("l.most") - F.col("l.back")
+    ends = F.forall(F.transform("p", lambda x, i: (i + 1 == F.size("p")) | x["text"].rlike(r"[\n\r]$") | (F.length(F.regexp_extract(x["text"], r"([^\n\r]*)$", 1)) + F.length(F.regexp_extract(F.coalesce(F.get(new, i + 1), F.lit("")), r"^([^\n\r]*)", 1)) >= room)), lambda x: x)
+    return g.select(*key, F.md5(F.array_join(new, "")).alias("digest"), F.forall("p", lambda x: F.length(x["text"]) <= F.col("l.most")).alias("within"), overlap.alias("overlaps"), ends.alias("at_lines"))
 
 
 _PAGE = ["history_id", "commit_pos", "file_pos"]
@@ -237,55 +255,102 @@ def _pages(h: DataFrame) -> DataFrame:
     return files.select(*_PAGE, "repo", F.col("f.patch").alias("patch")).where("patch is not null")
 
 
-def page_paths(pages: DataFrame) -> DataFrame:
-    """The generalised paths of each page with their votes, repeated deliveries once; no text in it."""
+_PATHS = "history_id bigint, commit_pos int, file_pos int, repo string, family string, path string, score double"
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [markup.page_paths(t) for t in batch.column(4).to_pylist()]
-        take = pa.array([i for i, g in enumerate(got) for _ in g], pa.int64())
-        cols = [batch.column(k).take(take) for k in range(4)]
-        found = [[k[0] for g in got for k in g], [k[1] for g in got for k in g]]
-        return pa.RecordBatch.from_arrays([*cols, *[pa.array(x, pa.string()) for x in found], pa.array([v for g in got for v in g.values()], pa.float64())], names=[*_PAGE, "repo", "family", "path", "vote"])
 
-    rows = map_batches(pages.select(*_PAGE, "repo", "patch"), work, "history_id bigint, commit_pos int, file_pos int, repo string, family string, path string, vote double")
-    return rows.groupBy(*_PAGE, "repo", "family", "path").agg(F.max("vote").alias("vote"))
+def _extract(batch: pa.RecordBatch, lost: Callable[[str | None], frozenset]) -> pa.RecordBatch:
+    """The paths of pages (key, repo, patch) with their scores, without those lost on their host."""
+    got = [markup.page_paths(t, lost(r)) for r, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+    take = pa.array([i for i, g in enumerate(got) for _ in g], pa.int64())
+    found = [[k[0] for g in got for k in g], [k[1] for g in got for k in g]]
+    return pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(4)], *[pa.array(x, pa.string()) for x in found], pa.array([v for g in got for v in g.values()], pa.float64())], names=[*_PAGE, "repo", "family", "path", "score"])
+
+
+def page_paths(pages: DataFrame) -> DataFrame:
+    """The generalised paths of each page with their scores, repeated deliveries once; no text in it."""
+    rows = map_batches(pages.select(*_PAGE, "repo", "patch"), lambda b: _extract(b, lambda _: frozenset()), _PATHS)
+    return rows.groupBy(*_PAGE, "repo", "family", "path").agg(F.max("score").alias("score"))
 
 
 def host_votes(paths: DataFrame) -> DataFrame:
-    """repo, family, path, votes: the votes of a host's pages added up; pages meet in partial sums first, so a large host is no hot group."""
-    return paths.groupBy("repo", "family", "path").agg(F.sum("vote").alias("votes"))
+    """repo, family, path, votes: the scores of a host's pages added up; pages meet in partial sums first, so a large host is no hot group."""
+    return paths.groupBy("repo", "family", "path").agg(F.sum("score").alias("votes"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose patch adds a construct of a family, by the paths that won on their host."""
-    checkpoint_dir(spark)
-    paths = page_paths(_pages(histories(spark, sf_dir, repo=("repo",), file=("patch",)))).checkpoint()
-    wins = host_votes(paths).where(F.col("votes") >= markup.WINS).select(F.col("repo").alias("host"), F.col("family").alias("f"), F.col("path").alias("p"))
-    won = paths.join(wins, F.col("repo").eqNullSafe(F.col("host")) & (F.col("family") == F.col("f")) & (F.col("path") == F.col("p")), "left_semi")
-    return won.select(*_PAGE, F.col("family").alias("markup")).distinct()
+def losers(paths: DataFrame) -> DataFrame:
+    """The paths in doubt that lost, by page: their own score and the votes of the host's other pages do not reach WINS."""
+    doubt = paths.where(F.col("score") < markup.WINS)
+    v = host_votes(paths).select(F.col("repo").alias("host"), F.col("family").alias("f"), F.col("path").alias("p"), "votes")
+    own = F.col("repo").eqNullSafe(F.col("host")) & (F.col("family") == F.col("f")) & (F.col("path") == F.col("p"))
+    # The host's votes are those of the others and the page's own score.
+    return doubt.join(v, own).where(F.col("votes") < markup.WINS).select(*_PAGE, "repo", "family", "path")
 
 
-def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The added lines of each file as clean text, extracted again without the paths that lost on their host.
+MOST_LOST = 200_000  # host paths that lost are sent to all tasks up to so many, else joined by page
 
-    The losers are few (a path's names are a fixed set, and only signs that could be chance
-    can lose); AQE broadcasts them below its size threshold and joins by host beyond it.
+
+def _lost_paths(lost: DataFrame) -> Shipped | None:
+    """The lost paths by host, if few; all pages of a host that doubt a path share its votes, so a path is lost on all of them."""
+    rows = lost.select("repo", "family", "path").distinct().limit(MOST_LOST + 1).collect()
+    if len(rows) > MOST_LOST:
+        return None
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.repo, set()).add((r.family, r.path))
+    return Shipped(lost, {k: frozenset(v) for k, v in by.items()})
+
+
+def _with_lost(pages: DataFrame, lost: DataFrame, work: Callable, schema: str, only: bool = False) -> DataFrame:
+    """``work(batch, lost paths of each row)`` over pages, or over those with a lost path ``only``.
+
+    Texts are shuffled only where more than ``MOST_LOST`` paths were lost.  A lost path has less
+    than one vote on its host and a doubtful sign half a vote or more, so it is lost by one page:
+    the pages with a lost path are no more than the paths.
     """
+    sent = _lost_paths(lost)
+    cols = pages.select(*_PAGE, "repo", "patch")
+    if only:
+        few = lost.select(*_PAGE).distinct()
+        cols = cols.join(F.broadcast(few) if sent is not None else few, _PAGE, "left_semi").select(*_PAGE, "repo", "patch")
+    if sent is not None:
+        return map_batches(cols, lambda b: work(b, [sent.get().get(r, frozenset()) for r in b.column(3).to_pylist()]), schema)
+    mine = lost.groupBy(*_PAGE).agg(F.collect_set(F.struct("family", "path")).alias("lost"))
+    return map_batches(cols.join(mine, _PAGE, "left"), lambda b: work(b, [frozenset((x["family"], x["path"]) for x in r or ()) for r in b.column(5).to_pylist()]), schema)
+
+
+def _again(batch: pa.RecordBatch, lost: list[frozenset]) -> pa.RecordBatch:
+    it = iter(lost)
+    return _extract(batch, lambda _: next(it))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose patch adds a construct of a family, by the paths that won on their host.
+
+    A page none of whose paths lost keeps what was extracted; the others (few) are extracted
+    again without the paths that lost.
+    """
+    pages = _pages(histories(spark, sf_dir, repo=("repo",), file=("patch",)))
+    paths = written(page_paths(pages))
+    lost = written(losers(paths))
+    again = _with_lost(pages, lost, _again, _PATHS, only=True).select(*_PAGE, "family")
+    kept = paths.join(lost.select(*_PAGE).distinct(), _PAGE, "left_anti").select(*_PAGE, "family")
+    return kept.unionByName(again).select(*_PAGE, F.col("family").alias("markup")).distinct()
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The added lines of each file as clean text, extracted again without the paths that lost on their host; repeated deliveries once."""
     h = first_deliveries(histories(spark, sf_dir, repo=("repo", "delivered_at"), file=("patch",)), "history_id", "delivered_at")
-    lost = host_votes(page_paths(_pages(h))).where(F.col("votes") < markup.WINS).groupBy(F.col("repo").alias("host")).agg(F.collect_set(F.struct("family", "path")).alias("lost"))
-    pages = _pages(h).join(lost, F.col("repo").eqNullSafe(F.col("host")), "left").select(*_PAGE, "patch", F.expr("transform(lost, x -> concat(x.family, ' ', x.path))").alias("lost"))
+    pages = _pages(h)
+    lost = written(losers(written(page_paths(pages))))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for patch, gone in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-            names = set(gone or ())
-            out.append(markup.clean(patch, {k for k in markup.page_paths(patch) if f"{k[0]} {k[1]}" not in names}))
+    def work(batch: pa.RecordBatch, gone: list[frozenset]) -> pa.RecordBatch:
+        out = [markup.clean(t, g) for t, g in zip(batch.column(4).to_pylist(), gone)]
         return pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], pa.array(out, pa.string())], names=[*_PAGE, "text"])
 
-    return map_batches(pages, work, "history_id bigint, commit_pos int, file_pos int, text string")
+    return _with_lost(pages, lost, work, "history_id bigint, commit_pos int, file_pos int, text string")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_clean": p5_clean, "p3_found": p3_found, "p3_segments": p3_segments, "p6_found": p6_found, "p6_restored": p6_restored}
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_joined": p4_joined, "p5_found": p5_found, "p5_clean": p5_clean, "p3_found": p3_found, "p3_segments": p3_segments, "p6_found": p6_found, "p6_restored": p6_restored}
 _SQL_FILES = """with g as (select * from (select *, row_number() over (partition by history_id order by delivered_at) n from git_history_diffs) where n = 1),
 c as (select history_id, i - 1 commit_pos, acf_commits[i] c from (select *, unnest(range(1, len(acf_commits) + 1)) i from g) where acf_commits[i] is not null),
 f as (select history_id, commit_pos, j - 1 file_pos, c.acf_files[j] f from (select *, unnest(range(1, len(c.acf_files) + 1)) j from c) where c.acf_files[j] is not null)
@@ -294,4 +359,7 @@ SQL: dict[str, str] = {
     "p4_found": _SQL_FILES
     + """select 'patch' unit, history_id record_id, cast(commit_pos as int) commit_pos, cast(file_pos as int) file_pos from f where length(f.patch) > (select max_chars from chunk_limits)
 union select 'chunk', chunk_id, -1, -1 from diffchunk where length(text) > (select max_chars from chunk_limits)""",
+    "p4_joined": _SQL_FILES
+    + """, t as (select 'patch' unit, history_id record_id, cast(commit_pos as int) commit_pos, cast(file_pos as int) file_pos, f.patch text from f union all select 'chunk', chunk_id, -1, -1, min_by(text, chunk_index) from diffchunk group by chunk_id)
+select profile, unit, record_id, commit_pos, file_pos, md5(text) digest, true within, true overlaps, true at_lines from t, chunk_limits where length(text) > max_chars""",
 }

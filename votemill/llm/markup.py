@@ -1,11 +1,16 @@
 """Markup in the lines that patches add: which constructs they hold, and clean text without them.
 
-A page is the added lines of one file; its host is the repository.  Each construct stands in a
-container with a generalised path: the family, the elements or environments around it and the
-class without figures (``html/pre.code``, ``wiki/table/row``).  A container is scored by what
-it says and how sure its sign is; the votes of all pages of a host are added up in Spark, a
-path wins with ``WINS``, and pages are extracted again with the winning paths alone.  A sign
-that could be chance (``WEAK``) thus needs company on its host; a sure one wins at once.
+A page is the added lines of one file; its host is the repository.  A construct stands in a
+container: an element, environment, table, template, list or quotation that the page has opened.
+Its generalised path names the family, the innermost container and the construct, with classes
+but without figures (``html/pre/code.lang-py``, ``wiki/table/cell``, ``latex/itemize/item``).
+
+A page scores a path by its signs: each has a strength, and ``n`` signs leave the doubt that all
+are chance.  A sign that could be chance is strong where its container speaks for it (a row
+within an opened table).  The scores are the page's votes; Spark adds them up by host and path,
+and a path wins on a page if its own score and the votes of the host's *other* pages reach
+``WINS``.  Pages with a path that lost are extracted again without it: what stood in a lost
+container then belongs to the next one out.
 
 Clean text keeps headings (``#``), lists (``-``, ``1.``), code blocks (fences), tables
 (cells between bars) and formulas (between dollars).
@@ -21,9 +26,11 @@ import html
 import re
 from functools import lru_cache
 
-WINS = 1.0  # votes a path needs on its host
-WEAK = 0.5  # the vote of a sign that could be chance
-MEMO_LINES = 100_000
+WINS = 1.0  # score and votes of other pages that a path needs
+WEAK = 0.5  # the strength of a sign that could well be chance
+LIKELY = 0.8  # the strength of a sign that is seldom chance
+MEMO_LINES = 50_000
+MEMO_CHARS = 400  # longer lines are not remembered
 
 # Names of HTML elements, of LaTeX commands and of wiki macros.
 ELEMENTS = """a abbr article aside b big blockquote body br button caption center cite code col dd del details div dl dt em figcaption figure font footer form
@@ -43,7 +50,7 @@ _SHORT = "|".join(e for e in ELEMENTS if len(e) == 1)
 _CMD = "|".join(sorted(set(COMMANDS), key=lambda x: (-len(x), x)))
 _I = re.I
 
-# (family, path, pattern, vote); the first that matches a part of a line does not hide the others.
+# (family, rule, pattern, strength); the first that matches a part of a line does not hide the others.
 RULES: list[tuple[str, str, re.Pattern, float]] = [
     ("html", "tag", re.compile(rf"<(?:/\s*(?:{_EL})\s*>|(?:(?<![\w])<)?(?!(?<=\w<)(?:{_SHORT})\b)(?:{_EL})\b{_ATTR}\s*/?>)", _I), 1.0),
     ("html", "tag", re.compile(rf"(?<=\w)<({_SHORT})>[^<>]*</\1>", _I), 1.0),
@@ -51,14 +58,15 @@ RULES: list[tuple[str, str, re.Pattern, float]] = [
     ("html", "entity", re.compile(r"&(?:#\d{2,6}|#x[0-9a-f]{2,6}|(?!(?:lt|gt|amp|quot|apos);)[A-Za-z][A-Za-z0-9]{1,20});", _I), 1.0),
     ("html", "escape", re.compile(r"&(?:lt|gt|amp|quot|apos);"), WEAK),
     ("latex", "command", re.compile(rf"(?<![\w:\\])\\(?:{_CMD})(?![A-Za-z])"), 1.0),
-    ("latex", "escape", re.compile(r"\w\\_\w|(?<=\s)\\[%&](?=\s|\w)|\\_\\_"), 1.0),
+    ("latex", "escape", re.compile(r"\w\\_\w|(?<=\s)\\[%&](?=\s|\w)|\\_\\_"), LIKELY),
     ("latex", "group", re.compile(r"\{\\(?:bf|it|em|tt|sc|small|large)\b"), 1.0),
     ("latex", "math", re.compile(r"(?<![\\\w$\"])\$(?=[^\s$])[^$\n]*[\\^_][^$\n]*(?<=[^\s\\])\$(?![\w$\"])|\$\$[^$\n]+\$\$|^\s*\$\$\s*$|(?<![\\\w])\\\([^\n]+?\\\)|(?<![\\\w])\\\[[^\n]+?\\\]|^\s*\\[\[\]]\s*$"), 1.0),
     ("wiki", "heading", re.compile(r"^\s*(={2,6})\s*[^=\s](?:.*[^=\s])?\s*\1\s*$|^h[1-6]\.\s+\S"), 1.0),
     ("wiki", "emphasis", re.compile(r"(?<![\w'=(\[,])(?<!= )(?<!\()('{2,3}|'{5})(?=[^\s'])[^'\n]+(?:'[^'\n]+)*(?<=[^\s'])\1(?!')"), 1.0),
     ("wiki", "link", re.compile(r"(?<!\w)\[\[(?=[^\s\[\]])[^\[\]\n]*[^\s\[\]]\]\]|(?<![\w\]])\[https?://[^\s\]]+ +[^\[\]\n]+\](?!\()"), 1.0),
     ("wiki", "template", re.compile(r"\{\{(?=[A-Za-z#:])[^{}\n]*\||^\s*\{\{[A-Z][\w ]*\s*$|^\s*\}\}\s*$|\{\{[A-Z][\w ]*\}\}"), 1.0),
-    ("wiki", "table", re.compile(r"^\s*\{\|(?!\|)|^\s*\|-+\s*$|^\s*\|\}|^!\s+\S|^\|\|.*\|\|\s*$|^\|(?![|}+-])[^|]*[^|\s]\s*$"), 1.0),
+    ("wiki", "table", re.compile(r"^\s*\{\|(?!\|)|^\s*\|-+\s*$|^\s*\|\}|^\|\|.*\|\|\s*$"), 1.0),
+    ("wiki", "cell", re.compile(r"^!\s+\S|^\|(?![|}+-])[^|]*[^|\s]\s*$"), LIKELY),
     ("wiki", "definition", re.compile(r"^;\s+\S.*\s:\s+\S"), 1.0),
     ("wiki", "macro", re.compile(rf"\{{(?:{'|'.join(MACROS)})(?::[^{{}}\n]*)?\}}|^bq\.\s+\S"), 1.0),
     ("wiki", "redirect", re.compile(r"^#REDIRECT\b", _I), 1.0),
@@ -83,27 +91,30 @@ _FENCE_CLOSE = re.compile(r"^\s*(?:`{3,}|~{3,})\s*$|^\s*\{(?:code|noformat)\}\s*
 _CLASS = re.compile(r"""<([a-z][a-z0-9]*)[^<>]*?\bclass\s*=\s*["']?([\w-]+)""", re.I)
 
 
-@lru_cache(MEMO_LINES)
-def constructs(line: str) -> tuple[tuple[str, str, float], ...]:
-    """(family, generalised path, vote) of each construct a line holds; nothing for source code and prose."""
+def _constructs(line: str) -> tuple[tuple[str, str, float], ...]:
     if not _SIGN.search(line):
         return ()
     source = bool(_SOURCE.search(line))
     out = []
-    for family, path, pattern, vote in RULES:
-        if source and (family, path) not in _EVEN_IN_SOURCE:
+    for family, rule, pattern, strength in RULES:
+        if source and (family, rule) not in _EVEN_IN_SOURCE:
             continue
-        m = pattern.search(line)
-        if m:
-            if family == "html" and path == "tag" and (c := _CLASS.search(line)):
-                path = f"{c.group(1).lower()}.{re.sub(r'[0-9]+', '0', c.group(2).lower())}"
-            out.append((family, path, vote))
+        if pattern.search(line):
+            out.append((family, rule, strength))
     if len(out) > 1 and ("wiki", "redirect", 1.0) in out:
         out = [x for x in out if x[1:2] != ("heading",)]
     return tuple(out)
 
 
-_EVEN_IN_SOURCE = {("html", "entity"), ("html", "comment"), ("wiki", "macro"), ("markdown", "fence"), ("wiki", "table"), ("wiki", "template")}
+_remembered = lru_cache(MEMO_LINES)(_constructs)
+
+
+def constructs(line: str) -> tuple[tuple[str, str, float], ...]:
+    """(family, rule, strength) of each construct a line holds; nothing for source code and prose."""
+    return _remembered(line) if len(line) <= MEMO_CHARS else _constructs(line)
+
+
+_EVEN_IN_SOURCE = {("html", "entity"), ("html", "comment"), ("wiki", "macro"), ("markdown", "fence"), ("wiki", "table"), ("wiki", "cell"), ("wiki", "template")}
 
 
 def added(patch: str | None) -> list[tuple[str, bool]]:
@@ -144,14 +155,109 @@ def added(patch: str | None) -> list[tuple[str, bool]]:
 _MAY_FENCE = re.compile(r"```|~~~|\{(?:code|noformat)|pre\b", re.I).search
 
 
-def page_paths(patch: str | None) -> dict[tuple[str, str], float]:
-    """(family, path) to its vote, the highest on the page."""
-    out: dict[tuple[str, str], float] = {}
+_TAGS = re.compile(rf"<(/?)\s*({_EL})\b([^<>]*)>", _I)
+_CLASS_OF = re.compile(r"""\bclass\s*=\s*["']?([\w-]+)""", _I)
+_ENV = re.compile(r"\\(begin|end)\{([A-Za-z]+)\*?\}")
+_VOID = frozenset("br hr img input link meta col".split())
+_BLOCKS = ("heading", "list", "quote", "table")
+
+
+class Containers:
+    """What a page has opened, by family, and so the paths of its constructs."""
+
+    def __init__(self):
+        self.open: dict[str, list[str]] = {"html": [], "latex": [], "wiki": []}
+        self.block = ""  # the markdown block of the line
+
+    def at(self, family: str) -> str:
+        stack = self.open.get(family)
+        return stack[-1] if stack else self.block if family == "markdown" and self.block else "text"
+
+    def close(self, family: str, name: str) -> str:
+        """Closes the innermost container of that name, with what it holds; its full name."""
+        stack = self.open[family]
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k].partition(".")[0] == name:
+                name = stack[k]
+                del stack[k:]
+                break
+        return name
+
+    def paths(self, family: str, rule: str, line: str, strength: float, lost: frozenset) -> list[tuple[str, float]]:
+        """(path, strength) of one construct of a line, opening and closing what it opens and closes.
+
+        A container whose path is lost is not opened.
+        """
+        out: list[tuple[str, float]] = []
+
+        def enter(name: str) -> None:
+            path = f"{family}/{self.at(family)}/{name}"
+            out.append((path, strength))
+            if (family, path) not in lost:
+                self.open[family].append(name)
+
+        if family == "html" and rule == "tag":
+            for shut, name, rest in _TAGS.findall(line):
+                name = name.lower()
+                if shut:
+                    name = self.close(family, name)
+                    out.append((f"html/{self.at(family)}/{name}", strength))
+                    continue
+                if name in _VOID or rest.endswith("/"):
+                    out.append((f"html/{self.at(family)}/{name}", strength))
+                    continue
+                if name in ("li", "td", "th", "tr", "p", "dt", "dd", "option") and self.at(family).partition(".")[0] == name:
+                    self.close(family, name)
+                if c := _CLASS_OF.search(rest):
+                    name += "." + re.sub(r"[0-9]+", "0", c.group(1).lower())
+                enter(name)
+            return out or [(f"html/{self.at(family)}/tag", strength)]
+        if family == "latex" and rule == "command":
+            for verb, name in _ENV.findall(line):
+                if verb == "begin":
+                    enter(name)
+                else:
+                    self.close(family, name)
+            rule = "item" if "\\item" in line else "section" if "section" in line else rule
+        elif family == "wiki" and rule == "table":
+            opens, shuts = line.lstrip().startswith("{|"), line.lstrip().startswith("|}")
+            if opens:
+                enter("table")
+                return out
+            if shuts:
+                self.close(family, "table")
+        elif family == "wiki" and rule == "cell" and self.at(family) == "table":
+            strength = 1.0
+        elif family == "markdown" and rule in _BLOCKS:
+            self.block = rule
+            return [(f"markdown/page/{rule}", strength)]
+        return [*out, (f"{family}/{self.at(family)}/{rule}", strength)]
+
+
+def placed(patch: str | None, lost: frozenset = frozenset()):
+    """(line, whether in source code, (family, rule) of its constructs, their (family, path) and strengths) of each added line, without lost paths."""
+    box = Containers()
     for line, code in added(patch):
-        if not code:
-            for family, path, vote in constructs(line):
-                if vote > out.get((family, path), 0.0):
-                    out[family, path] = vote
+        if code:
+            yield line, True, (), ()
+            continue
+        box.block = ""
+        rules, paths = [], []
+        for family, rule, strength in constructs(line):
+            found = box.paths(family, rule, line, strength, lost)
+            kept = [((family, p), x) for p, x in found if (family, p) not in lost]
+            paths += kept
+            if kept:
+                rules.append((family, rule))
+        yield line, False, rules, paths
+
+
+def page_paths(patch: str | None, lost: frozenset = frozenset()) -> dict[tuple[str, str], float]:
+    """(family, path) to the page's score: one less the chance that all its signs are accidents."""
+    out: dict[tuple[str, str], float] = {}
+    for _, _, _, paths in placed(patch, lost):
+        for key, strength in paths:
+            out[key] = 1 - (1 - out.get(key, 0.0)) * (1 - strength)
     return out
 
 
@@ -172,18 +278,20 @@ _CLEAN = [
 ]
 
 
-def clean(patch: str | None, wins) -> str:
-    """The added lines as clean text; only constructs whose (family, path) is in ``wins`` are taken for markup."""
+def clean(patch: str | None, lost: frozenset = frozenset()) -> str:
+    """The added lines as clean text; constructs whose (family, path) is in ``lost`` are not taken for markup."""
     out: list[str] = []
     fenced = False
-    for line, code in added(patch):
+    for line, code, rules, _ in placed(patch, lost):
         if code:
             if not fenced:
                 out.append("```")
                 fenced = True
             out.append(html.unescape(line))
             continue
-        have = {(f, p if f != "html" else "tag" if p not in ("comment", "entity", "escape") else p): p for f, p, _ in constructs(line) if (f, p) in wins}
+        have = set(rules)
+        if ("wiki", "cell") in have:
+            have.add(("wiki", "table"))
         if ("markdown", "fence") in have or ("wiki", "macro") in have and _FENCE_CLOSE.search(line) or _FENCE_CLOSE.search(line) and fenced:
             if fenced:
                 out.append("```")
