@@ -166,10 +166,17 @@ def test_language_held_out_with_wrong_labels():
     mixed = sentences("de", 1, 9)[0] + "\n" + sentences("fr", 1, 9)[0]
     assert [x[0] for x in language.stretches(m, mixed, "document")] == ["de", "fr"]
     assert m.judge(("unbekannteprüfung",))[0] == "de"  # unknown words fall back to their letters
-    for nothing in (None, "", " \n", "src/core/main.py", "x = f(y);", "# Head"):
+    for nothing in (None, "", " \n", "src/core/main.py", "x = f(y);", "# Head", "copy D:\\section\\logs E:\\begin\\old", "SELECT a, b FROM t WHERE a < b:"):
         assert language.stretches(m, nothing, "document") == []
 
 
+def test_a_sentence_of_all_languages_speaks_for_none():
+    # The same sentence stands in the texts of both; the one with fewer words must not take it.
+    texts = [("fr", s + " die und das bauen.") for s in sentences("fr", 200, 4)] + [("xx", w + ". Der Test ist die und das.") for w in ("\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059", "\u77ed\u3044\u6587\u7ae0\u3067\u3059") for _ in range(100)] + [("de", s + " Der Test ist die und das.") for s in sentences("de", 200, 5)]
+    m = language.train(texts)
+    assert m.judge(("der", "test", "ist", "die", "und", "das"))[0] == "de" and "xx" in m.names
+
+
 def test_language_codes():
     assert [language.code(x) for x in ("en-US", "English", "eng", "EN", "zh_CN", "pt-BR", "und", "", None, "unknown", "mul")] == ["en", "en", "en", "en", "zh", "pt", None, None, None, None, "mul"]
 

@@ -62,6 +62,7 @@ _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|&#?\w+;")
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)")
 _WIKI = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
 _LATEX = re.compile(r"\\(?:begin|end|ref|label|cite|includegraphics)\*?(?:\[[^\]]*\])?\{[^{}]*\}|\\[A-Za-z]+\*?|\$[^$\n]*\$")
+_DRIVE = re.compile(r"(?<!\w)[A-Za-z]:\\\S*")
 _CODE = re.compile(r"`[^`\n]*`|\{\{.*?\}\}|\{code.*?\}")
 _NAME = re.compile(
     r"(?:https?://|www\.)\S+|(?<!\S)[^\s/]*/\S*|\b\w+(?:_\w+)+\b|\b\w+\\_\w+\b|\b[A-Za-z]+[a-z][A-Z]\w*\b|\b[\w-]+\.(?:[a-z]{1,5})\b|(?<!\w)--?[A-Za-z][\w-]*|\b\w*\d\w*\b|@\w+|#\S+|<[^<>\s]*>"
@@ -116,7 +117,7 @@ def _line_pieces(line: str) -> list[tuple[tuple[str, ...], bool, int]]:
     if "[" in s:
         s = _WIKI.sub(r"\1", _LINK.sub(r"\1", s))
     if "\\" in s or "$" in s:
-        s = _LATEX.sub(" ", s)
+        s = _LATEX.sub(" ", _DRIVE.sub(" ", s))
     if "`" in s or "{" in s:
         s = _CODE.sub(" ", s)
     s = s.strip(" \t\r*_~'=}{\"”“«»„‘")
@@ -137,8 +138,8 @@ def _line_pieces(line: str) -> list[tuple[tuple[str, ...], bool, int]]:
             part = _NAME.sub(" ", part)
         words = tuple(_WORD.findall(part.lower()))
         size = _size(words) if _EASTERN.search(part) else len(words)
-        if size >= 3:
-            out.append((words, whole and not (codelike and size < 5), size))
+        if size >= (5 if codelike else 3):
+            out.append((words, whole, size))
     return out
 
 
