@@ -121,7 +121,8 @@ def sheet_merge(spark, d):
 def _pieces(spark, d):
     """The models' records of a diff as if they were its pieces."""
     r = table(spark, d, "recovered_20260714_204326").where("diff_id is not null")
-    place = F.row_number().over(Window.partitionBy("diff_id").orderBy("recorded_at", "primary_result.model", F.md5(F.to_json("primary_result"))))
+    blank = lambda c: F.coalesce(f"primary_result.{c}", F.lit(""))
+    place = F.row_number().over(Window.partitionBy("diff_id").orderBy("recorded_at", "primary_result.model", blank("primary_category"), blank("summary"), F.array_join("primary_result.validation_errors", ";"))) - 1
     # Rating runs of one diff are as many as models and reruns.
     return r.select(F.col("diff_id").alias("item"), place.alias("index"), F.col("category_scores").alias("scores"), "status", F.col("primary_result.validation_errors").alias("errors"), F.col("primary_result.primary_category").alias("primary"), F.col("primary_result.summary").alias("summary"))
 
@@ -141,27 +142,55 @@ def worst_status(spark, d):
 
 
 def error_tags(spark, d):
-    """Distinct error codes of each diff with the model's place."""
+    """Distinct error codes of each diff, each with the place of its record among the diff's records, from 0."""
     p = _pieces(spark, d).where("size(errors) > 0")
-    return p.groupBy("item").agg(F.array_join(C.error_tags(F.lit("").cast("string"), F.col("errors")), ";").alias("tags"))
+    return p.groupBy("item").agg(F.array_join(C.error_tags(F.col("index").cast("string"), F.col("errors")), ";").alias("tags"))
 
 
 def chunk_plan(spark, d):
-    """Documents cut into pieces of whole lines of at most 800 characters with an overlap of 100."""
-    t = table(spark, d, "documents").select("doc_id", F.explode(plan_chunks(F.col("text"), 800, 100)).alias("c"))
-    return t.select("doc_id", "c.index", "c.total", "c.char_start", "c.char_end", F.length("c.text").alias("chars"))
+    """Documents cut into pieces of whole lines of at most 800 characters with an overlap of 100: how many, whether all keep limit and overlap, and the digest of what they join to."""
+    p = plan_chunks(F.col("text"), 800, 100)
+    t = table(spark, d, "documents").select("doc_id", p.alias("p")).where("size(p) > 0")
+    new = F.transform("p", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.substring(x["text"], F.get("p", i - 1)["char_end"] - x["char_start"] + 1, F.lit(2**31 - 1))))
+    keeps = F.forall("p", lambda x: (F.length(x["text"]) <= 800) & (F.length(x["text"]) == x["char_end"] - x["char_start"]) & (x["total"] == F.size("p")))
+    back = F.forall(F.transform("p", lambda x, i: (i == 0) | (F.coalesce(F.get("p", i - 1)["char_end"], F.lit(0)) - x["char_start"] == F.least(F.lit(100), F.coalesce(F.get("p", i - 1)["char_end"], F.lit(0))))), lambda x: x)
+    return t.select("doc_id", (F.size("p") > 1).alias("cut"), keeps.alias("keeps"), back.alias("overlaps"), F.md5(F.array_join(new, "")).alias("digest"))
 
 
 def response_parse(spark, d):
-    """Answers rebuilt from the ratings, a part of them broken in known ways, parsed back: errors and score sums."""
+    """Answers rebuilt from the ratings, a part of them broken in known ways, parsed back: errors and score sums.
+
+    By the length of the id an answer is sound, within other text, with a stray comma, or without its last bracket.
+    """
     r = table(spark, d, "recovered_20260714_204326").where("diff_id is not null and category_scores is not null")
-    entries = F.transform(F.map_entries("category_scores"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("score"), F.lit("because").alias("rationale")))
-    ok = F.to_json(F.struct(entries.alias("categories"), F.col("primary_result.primary_category").alias("primary_category"), F.lit("text").alias("summary")))
-    kind = F.pmod(F.xxhash64("diff_id", "recorded_at"), F.lit(4))
-    broken = F.when(kind == 0, ok).when(kind == 1, F.concat(F.lit("Here you go: "), ok, F.lit(" Done."))).when(kind == 2, F.regexp_replace(ok, r"\}\]", "},]")).otherwise(F.substring(ok, 1, 400))
-    p = r.select("diff_id", F.col("primary_result.model").alias("model"), kind.alias("kind"), R.parse_response(broken, G.CATEGORIES).alias("p"))
+    entries = F.transform(F.map_entries("category_scores"), lambda e: F.struct(e["key"].alias("name"), F.round(e["value"], 3).alias("score"), F.lit("because").alias("rationale")))
+    ok = F.to_json(F.struct(entries.alias("categories"), F.coalesce("primary_result.primary_category", F.lit("none")).alias("primary_category"), F.lit("text").alias("summary")))
+    kind = F.length("diff_id") % 4
+    broken = F.when(kind == 0, ok).when(kind == 1, F.concat(F.lit("Here you go: "), ok, F.lit(" Done."))).when(kind == 2, F.regexp_replace(ok, r"\}\]", "},]")).otherwise(F.substring(ok, F.lit(1), F.length(ok) - 1))
+    p = r.select("diff_id", F.col("primary_result.model").alias("model"), "recorded_at", kind.alias("kind"), R.parse_response(broken, G.CATEGORIES).alias("p"))
     total = F.aggregate(F.map_values("p.scores"), F.lit(0.0), lambda a, x: a + x)
-    return p.select("diff_id", "model", "kind", F.array_join("p.errors", ";").alias("errors"), F.round(total, 6).alias("sum"), F.col("p.parsed").isNotNull().alias("parsed"))
+    return p.select("diff_id", "model", "recorded_at", "kind", F.array_join("p.errors", ";").alias("errors"), F.round(total, 6).alias("sum"), F.col("p.parsed").isNotNull().alias("parsed"))
+
+
+#: Answers with what has to come of them: errors, and the scores above zero of two categories.
+_ANSWERS = (
+    ('{"categories":[{"name":"Testing","score":"0,85","rationale":"x"},{"name":"devops","score":true,"rationale":""}],"primary_category":"Testing","summary":"s"}', "categories_missing_entries:DevOps", 0.85, 1.0),
+    ('Sure: {"categories":[{"name":"Testing","score":0.4,"rationale":"}"},{"name":"DevOps","score":7,"rationale":"x"},],"primary_category":"DevOps","summary":"s",} ok', "", 0.4, 1.0),
+    ('{"categories":[{"name":"Testing","score":0.3,"rationale":"x"},{"name":"DevOps","score":null,"rationale":3},"primary_category":"none","     "summary":" "}', "categories[1].score_invalid(DevOps);categories[1].rationale_invalid(DevOps);primary_category_invalid;summary_invalid", 0.3, 0.0),
+    ('{"categories":[{"name":"Testing","score":0.9,"rationale":"x"},{"name":"Dev', "invalid_json", 0.9, 0.0),
+    ('```json\n"primary_category": "DevOps"\n```', "invalid_json", 0.0, 0.65),
+    ("Testing: 0.7, DevOps 0.2", "invalid_json", 0.7, 0.2),
+    ('{"score": 0.25, "name": "Testing"', "invalid_json", 0.25, 0.0),
+    ('{"categories": "none"}', "categories_missing_or_not_list", 0.0, 0.0),
+    ("{broken: } no", "invalid_json", 0.0, 0.0),
+    (None, "invalid_json", 0.0, 0.0),
+)
+
+
+def response_cases(spark, d):
+    """A table of answers, sound, broken and empty, parsed."""
+    t = spark.createDataFrame([(i, a[0]) for i, a in enumerate(_ANSWERS)], "case int, answer string").select("case", R.parse_response(F.col("answer"), ("Testing", "DevOps")).alias("p"))
+    return t.select("case", F.array_join("p.errors", ";").alias("errors"), F.element_at("p.scores", "Testing").alias("testing"), F.element_at("p.scores", "DevOps").alias("devops"))
 
 
 def stratified_sample(spark, d):
@@ -206,7 +235,7 @@ def limiter_waits(spark, d):
 
 
 chunk_aggregate, chunk_aggregate_mean, chunk_aggregate_any = _aggregated("max"), _aggregated("mean"), _aggregated("any")
-QUERIES = {f.__name__: f for f in (min_words, blank_profile, char_counts, duplicate_texts, json_scores, histogram_15, empirical_cdf, sliding_budget, lifecycle_pick, last_counts, ordered_types, log_lines, sheet_merge, worst_status, error_tags, chunk_plan, response_parse, stratified_sample, stream_dedup, stream_window_counts, stream_sessions, stream_merged, limiter_waits)} | {"chunk_aggregate": chunk_aggregate, "chunk_aggregate_mean": chunk_aggregate_mean, "chunk_aggregate_any": chunk_aggregate_any}
+QUERIES = {f.__name__: f for f in (min_words, blank_profile, char_counts, duplicate_texts, json_scores, histogram_15, empirical_cdf, sliding_budget, lifecycle_pick, last_counts, ordered_types, log_lines, sheet_merge, worst_status, error_tags, chunk_plan, response_parse, response_cases, stratified_sample, stream_dedup, stream_window_counts, stream_sessions, stream_merged, limiter_waits)} | {"chunk_aggregate": chunk_aggregate, "chunk_aggregate_mean": chunk_aggregate_mean, "chunk_aggregate_any": chunk_aggregate_any}
 
 _AG = "with r as (select diff_id item, category_scores s from recovered_20260714_204326 where diff_id is not null), n as (select item, count(s) n from r group by 1), e as (select item, unnest(map_entries(s)) e from r where s is not null), x as (select item, e.key category, max(e.value) hi, sum(e.value) t, max(cast(e.value >= 0.5 as double)) a from e where e.key in ('System Overview', 'AI Integration', 'Documentation', 'Architecture', 'Impl. Details', 'Build and Run', 'Testing', 'Conf.&Env.', 'DevOps', 'Development Process', 'Project Management', 'Maintenance', 'Debugging', 'Performance', 'Security', 'UI/UX') group by 1, 2) "
 SQL = {
@@ -231,7 +260,14 @@ select distinct x.sha, x.date, x.message, x.url from m""",
     "sheet_merge": """with s as (select diff_id, min(nullif(commit_message, '')) m from gold_sheet where trim(diff_id) <> '' group by 1), r as (select diff_id, max(commit_message) n from recovered_20260714_204326 group by 1)
 select diff_id, md5(coalesce(m, nullif(n, ''))) digest from s left join r using (diff_id)""",
     "worst_status": "with x as (select diff_id, case status when 'recovered' then 1 when 'retried_failed' then 2 when 'fallback' then 3 else 0 end k from recovered_20260714_204326 where diff_id is not null) select diff_id, ['ok', 'recovered', 'retried_failed', 'fallback'][max(k) + 1] status from x group by 1",
-    "error_tags": "select item, string_agg('chunk:' || e, ';' order by 'chunk:' || e) tags from (select distinct diff_id item, unnest(primary_result.validation_errors) e from recovered_20260714_204326 where diff_id is not null) group by 1",
+    "error_tags": "with p as (select diff_id item, primary_result.validation_errors es, row_number() over (partition by diff_id order by recorded_at, primary_result.model nulls first, coalesce(primary_result.primary_category, ''), coalesce(primary_result.summary, ''), array_to_string(primary_result.validation_errors, ';')) - 1 i from recovered_20260714_204326 where diff_id is not null), t as (select distinct item, 'chunk' || i || ':' || unnest(es) tag from p) select item, string_agg(tag, ';' order by tag) tags from t group by 1",
+    "chunk_plan": "select doc_id, length(text) > 800 cut, true keeps, true \"overlaps\", md5(text) digest from documents where text <> ''",
+    "response_cases": "select * from (values " + ", ".join(f"({i}, '{e}', cast({t} as double), cast({o} as double))" for i, (_, e, t, o) in enumerate(_ANSWERS)) + ") t(\"case\", errors, testing, devops)",
+    "response_parse": """with cats as (select unnest(['System Overview', 'AI Integration', 'Documentation', 'Architecture', 'Impl. Details', 'Build and Run', 'Testing', 'Conf.&Env.', 'DevOps', 'Development Process', 'Project Management', 'Maintenance', 'Debugging', 'Performance', 'Security', 'UI/UX']) category, unnest(range(16)) i),
+r as (select row_number() over () id, diff_id, primary_result.model model, recorded_at, length(diff_id) % 4 kind, coalesce(primary_result.primary_category, 'none') p, map_entries(category_scores) es from recovered_20260714_204326 where diff_id is not null and category_scores is not null),
+s as (select id, category, i, len([1 for e in es if e.key = category]) seen, coalesce(least(1e0, greatest(0e0, round([e.value for e in es if lower(e.key) = lower(category)][-1], 3))), 0e0) v from r, cats),
+t as (select id, sum(v) v, string_agg(category, ',' order by i) filter (seen = 0) missing, max(cast(category = p as int)) listed, sum(case when category = p and v = 0 then 0.65 else 0 end) boost from s join r using (id) group by 1)
+select diff_id, model, recorded_at, cast(kind as int) kind, case when kind = 3 then 'invalid_json' else concat_ws(';', 'categories_missing_entries:' || missing, case when listed = 0 then 'primary_category_invalid' end) end errors, round(v + case when kind = 3 then boost else 0 end, 6) "sum", kind <> 3 parsed from r join t using (id)""",
     "chunk_aggregate": _AG + "select item, category, round(hi, 9) score from x where hi > 0",
     "chunk_aggregate_mean": _AG + "select item, category, round(t / n, 9) score from x join n using (item) where t > 0",
     "chunk_aggregate_any": _AG + "select item, category, a score from x where a > 0",
