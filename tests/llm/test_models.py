@@ -166,7 +166,7 @@ def test_language_held_out_with_wrong_labels():
     mixed = sentences("de", 1, 9)[0] + "\n" + sentences("fr", 1, 9)[0]
     assert [x[0] for x in language.stretches(m, mixed, "document")] == ["de", "fr"]
     assert m.judge(("unbekannteprüfung",))[0] == "de"  # unknown words fall back to their letters
-    for nothing in (None, "", " \n", "src/core/main.py", "x = f(y);", "# Head", "copy D:\\section\\logs E:\\begin\\old", "SELECT a, b FROM t WHERE a < b:"):
+    for nothing in (None, "", " \n", "src/core/main.py", "x = f(y);", "# Head", "copy D:\\section\\logs E:\\begin\\old", "SELECT a, b FROM t WHERE a < b"):
         assert language.stretches(m, nothing, "document") == []
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from votemill.llm.common import map_batches
+from votemill.operators.gold import CATEGORIES
 
 ROUNDS = 8  # most rounds of messages
 FIRST = 3  # rounds before the dependence of annotators is measured
@@ -40,13 +41,6 @@ DIAGONAL = 0.5
 SHARED = 0.1  # common mistakes below this are taken for chance
 MOST_ANNOTATORS = 512
 
-# Fixed value: the project's sixteen categories, in their order.
-CATEGORIES = (
-    "System Overview", "AI Integration", "Documentation", "Architecture", "Impl. Details", "Build and Run", "Testing", "Conf.&Env.",
-    "DevOps", "Development Process", "Project Management", "Maintenance", "Debugging", "Performance", "Security", "UI/UX",
-)
-
-
 def _key(c: Column) -> Column:
     return F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit("and")), "[^a-z0-9]", "")
 

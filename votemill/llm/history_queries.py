@@ -361,5 +361,5 @@ SQL: dict[str, str] = {
 union select 'chunk', chunk_id, -1, -1 from diffchunk where length(text) > (select max_chars from chunk_limits)""",
     "p4_joined": _SQL_FILES
     + """, t as (select 'patch' unit, history_id record_id, cast(commit_pos as int) commit_pos, cast(file_pos as int) file_pos, f.patch text from f union all select 'chunk', chunk_id, -1, -1, min_by(text, chunk_index) from diffchunk group by chunk_id)
-select profile, unit, record_id, commit_pos, file_pos, md5(text) digest, true "within", true overlaps, true at_lines from t, chunk_limits where length(text) > max_chars""",
+select profile, unit, record_id, commit_pos, file_pos, md5(text) digest, true "within", true "overlaps", true at_lines from t, chunk_limits where length(text) > max_chars""",
 }
