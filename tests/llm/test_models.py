@@ -293,13 +293,17 @@ def test_messages_beat_the_majority():
         rows.append(row)
     e = consensus.Edges(pa.array(rows, pa.list_(pa.struct([("a", pa.int32()), ("l", pa.int32())]))))
     weight = np.array([1, 1, 0.4, 0.4, 0.4, 1.0])
-    history = []
-    for _ in range(5):
-        q, _, belief = consensus.replay(e, history, weight, c)
-        joint = np.zeros((len(skill), c, c))
-        np.add.at(joint, (e.a, slice(None), e.l), q)
-        history.append(consensus.Sums(joint))
-    _, _, belief = consensus.replay(e, history, weight, c)
+    q = consensus.first_messages(e, c)
+    moved = []
+    for _ in range(40):
+        sums = consensus.Sums(consensus._joint(e, q, len(skill), c).reshape(len(skill), c, c))
+        by_hand = np.zeros((len(skill), c, c))
+        np.add.at(by_hand, (e.a, slice(None), e.l), q)
+        assert np.allclose(sums.joint, by_hand)
+        new, belief = consensus.next_messages(e, q, sums, weight)
+        moved.append(np.abs(new - q).sum() / 2 / len(q))
+        q = new
+    assert moved[-1] < consensus.SETTLED < moved[0]
     votes = np.zeros((n, c))
     np.add.at(votes, (e.item, e.l), 1)
     assert (belief.argmax(1) == truth).mean() > 0.9 > (votes.argmax(1) == truth).mean()

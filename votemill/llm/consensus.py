@@ -4,7 +4,9 @@ Every rating is an edge.  An item sends each of its annotators what the others s
 category; an annotator sends each of its items what its answers elsewhere say about the label
 it gave: for each category against the rest, the log of how often it gives this label where
 the category holds, over how often where it does not.  Neither message contains what came in
-on the same edge.  Messages go to and fro until hardly any item changes its category.
+on the same edge.  Messages go to and fro until they settle: until of a message's mass less
+than ``SETTLED`` moves in a round, on average.  A run that has not settled after ``MOST_ROUNDS``
+says so (a warning, and ``settled`` beside every reliability).
 
 Annotators that share their mistakes count less: after a first run, the share of mistakes that
 two have in common beyond what their habits explain is measured, and an annotator's messages
@@ -12,11 +14,12 @@ are divided by one plus its sum; then the messages run again.
 
 Scale: an item's edges lie in one row, so an item's messages are made where the row is; what
 crosses the network are sums over items (annotators x categories x labels), added up in Spark.
-The messages themselves are not stored: they follow from the votes and the sums of the earlier
-rounds, which are few, so no state is written or kept in lineage.
+The messages of a round (a small number for each edge and category) are a table in the shared
+folder: a round reads the last one and writes the next, so work grows with the rounds and no
+further, and lineage stays short; the one before is removed.
 
-Bounds: annotators are models or persons of one project; their sums are held by the driver, and
-more than ``MOST_ANNOTATORS`` are refused.  Edge cases: of several ratings of an item by one
+Bounds: annotators are models or persons of one project; their sums are held by the driver and
+sent to the tasks, and more than ``MOST_ANNOTATORS`` (8 MB of sums) are refused.  Edge cases: of several ratings of an item by one
 annotator the latest valid one counts (ties: the smaller label); a rating without a known
 category counts if its scores name one; failed ratings count only for items without a valid
 one, and an item without any label gets the most usual category, with 0 votes; an item with
@@ -25,6 +28,9 @@ one rating has the category that the annotator's habits suggest; rows without di
 
 from __future__ import annotations
 
+import uuid
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,14 +38,15 @@ from pyspark.sql import functions as F
 
 from votemill.llm.common import map_batches
 from votemill.operators.gold import CATEGORIES
+from votemill.session import checkpoint_dir, ship
 
-ROUNDS = 8  # most rounds of messages
+MOST_ROUNDS = 60
 FIRST = 3  # rounds before the dependence of annotators is measured
-SETTLED = 0.0005  # share of items that may still change when the messages stop
+SETTLED = 0.0002  # share of a message's mass that may still move when the messages stop
 SMOOTH = 0.3
 DIAGONAL = 0.5
 SHARED = 0.1  # common mistakes below this are taken for chance
-MOST_ANNOTATORS = 512
+MOST_ANNOTATORS = 4096
 
 def _key(c: Column) -> Column:
     return F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit("and")), "[^a-z0-9]", "")
@@ -93,7 +100,9 @@ class Edges:
 
     def per_item(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n, x.shape[1]))
-        np.add.at(out, self.item, x)
+        some = np.flatnonzero(self.count)
+        if len(some):
+            out[some] = np.add.reduceat(x, (np.cumsum(self.count) - self.count)[some], axis=0)
         return out
 
 
@@ -134,105 +143,165 @@ class Sums:
         self.joint = joint
 
 
-def replay(e: Edges, history: list[Sums], weight: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(messages after the rounds of ``history``, the last two beliefs)."""
-    q = first_messages(e, c)
-    one = np.zeros((len(e.a), c))
-    one[np.arange(len(e.a)), e.l] = 1.0
-    before = belief = e.per_item(one)
-    for s in history:
-        before = belief
-        q, belief = next_messages(e, q, s, weight)
-    return q, before, belief
+_STATE = "diff_id string, edges array<struct<a:int,l:int>>, q binary, k array<int>, v array<double>"
 
 
-def _sums(items: DataFrame, history: list[Sums], weight: np.ndarray, a: int, c: int) -> tuple[Sums, float]:
-    """One round over all items: (the annotators' sums, share of items that changed category)."""
+def _messages(a: pa.Array, c: int) -> np.ndarray:
+    """The messages of a batch's edges, in order."""
+    at = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
+    data = np.frombuffer(a.buffers()[2], np.uint8)[at[0] : at[-1]] if a.buffers()[2] else np.zeros(0, np.uint8)
+    return data.view("<f4").reshape(-1, c).astype(np.float64)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e = Edges(batch.column(0))
-        q, before, belief = replay(e, history, weight, c)
-        joint = np.zeros((a * c, c))
-        np.add.at(joint, e.a * c + e.l, q)  # rows: annotator and label; columns: category
-        flat = np.append(joint.reshape(a, c, c).transpose(0, 2, 1).reshape(-1), [(before.argmax(1) != belief.argmax(1)).sum(), e.n])
-        keep = np.flatnonzero(flat)
-        return pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(flat[keep])], names=["k", "v"])
-
-    rows = map_batches(items.select("edges"), work, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    flat = np.zeros(a * c * c + 2)
-    for r in rows:
-        flat[r.k] = r.v
-    return Sums(flat[:-2].reshape(a, c, c)), flat[-2] / max(flat[-1], 1.0)
-
-
-def _dependence(items: DataFrame, history: list[Sums], weight: np.ndarray, a: int, c: int) -> np.ndarray:
-    """By pairs of annotators, mistakes in common beyond their habits, as a share of the mistakes of the one with fewer."""
-    joint = history[-1].joint + 0.01
+
+def _joint(e: Edges, q: np.ndarray, a: int, c: int) -> np.ndarray:
+    """What a batch adds to the annotators' sums."""
+    cell = e.a * c + e.l
+    return np.stack([np.bincount(cell, q[:, k], a * c) for k in range(c)], axis=1).reshape(a, c, c).transpose(0, 2, 1).reshape(-1)
+
+
+class State:
+    """The messages of a round, as a table of items, and the annotators' sums that follow from them."""
+
+    def __init__(self, df: DataFrame, path: str, a: int, c: int):
+        self.path = path
+        self.items = df.where("k is null")
+        t = df.where("k is not null").select(F.inline(F.arrays_zip("k", "v"))).groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+        flat = np.zeros(a * c * c + 2)
+        flat[t.column("k").to_numpy()] = t.column("v").to_numpy()
+        self.sums = Sums(flat[:-2].reshape(a, c, c))
+        self.moved = float(flat[-2] / max(flat[-1], 1.0))  # share of the mass of a message that the round moved
+
+
+def _round(rows: DataFrame, weight: np.ndarray, a: int, c: int, last: State | None) -> State:
+    """The first messages of ``rows`` (diff_id, edges), or those that follow from the last state."""
+    sums = last.sums if last else None
+
+    def work(batches):
+        total = np.zeros(a * c * c + 2)
+        for batch in batches:
+            e = Edges(batch.column(1))
+            old = _messages(batch.column(2), c) if sums is not None else None
+            q = next_messages(e, old, sums, weight)[0] if sums is not None else first_messages(e, c)
+            q = q.astype(np.float32).astype(np.float64)
+            total[:-2] += _joint(e, q, a, c)
+            total[-2] += np.abs(q - old).sum() / 2 if old is not None else len(q)
+            total[-1] += len(q)
+            at = np.append(0, np.cumsum(e.count)).astype(np.int32) * np.int32(4 * c)
+            blob = pa.Array.from_buffers(pa.binary(), e.n, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(q.astype("<f4")))])
+            pairs = pa.StructArray.from_arrays([pa.array(e.a, pa.int32()), pa.array(e.l, pa.int32())], fields=list(_EDGE))
+            edges = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(e.count)), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), edges, blob, pa.nulls(e.n, pa.list_(pa.int32())), pa.nulls(e.n, pa.list_(pa.float64()))], names=_NAMES)
+        keep = np.flatnonzero(total)
+        one = pa.array([0, len(keep)], pa.int32())
+        edges = pa.nulls(1, pa.list_(_EDGE))
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), edges, pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(one, pa.array(keep.astype(np.int32))), pa.ListArray.from_arrays(one, pa.array(total[keep]))], names=_NAMES)
+
+    spark = rows.sparkSession
+    ship(spark)
+    path = f"{checkpoint_dir(spark)}/messages-{uuid.uuid4().hex}"
+    rows.mapInArrow(work, _STATE).write.option("compression", "zstd").parquet(path)
+    return State(spark.read.schema(_STATE).parquet(path), path, a, c)
+
+
+_NAMES = ["diff_id", "edges", "q", "k", "v"]
+_EDGE = pa.struct([("a", pa.int32()), ("l", pa.int32())])
+
+
+def _remove(spark, path: str) -> None:
+    """A round's table that no later step reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _dependence(state: State, weight: np.ndarray, a: int, c: int) -> np.ndarray:
+    """By annotator, the sum of its shares of mistakes in common with others beyond their habits, as shares of the mistakes of the one with fewer.
+
+    Only pairs that met on an item are counted; an item's pairs are as many as its annotators allow.
+    """
+    sums_now = state.sums
+    joint = sums_now.joint + 0.01
     habit = joint / joint.sum(2, keepdims=True)
-    both = np.einsum("acl,bcl->cab", habit, habit) - np.einsum("acc,bcc->cab", habit, habit)  # both wrong alike by habit
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e = Edges(batch.column(0))
-        _, _, belief = replay(e, history, weight, c)
-        truth = belief.argmax(1)
-        given = np.full((e.n, a), -1)
-        given[e.item, e.a] = e.l
-        there = given >= 0
-        wrong = there & (given != truth[:, None])
-        alike = np.zeros((a, a))
-        for k in range(c):
-            m = (wrong & (given == k)).astype(float)
-            alike += m.T @ m
-        met = np.stack([(there[truth == k].astype(float).T @ there[truth == k].astype(float)) for k in range(c)])
-        mine = wrong.astype(float).T @ there.astype(float)
-        flat = np.concatenate([alike.reshape(-1), (met * both).sum(0).reshape(-1), mine.reshape(-1)])
-        keep = np.flatnonzero(flat)
-        return pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(flat[keep])], names=["k", "v"])
-
-    rows = map_batches(items.select("edges"), work, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    flat = np.zeros(3 * a * a)
-    for r in rows:
-        flat[r.k] = r.v
-    alike, chance, mine = flat.reshape(3, a, a)
-    fewer = np.minimum(mine, mine.T)
+    def work(batches):
+        keys, sums = np.zeros(0, np.int64), np.zeros((0, 4))
+        for batch in batches:
+            e = Edges(batch.column(1))
+            belief = next_messages(e, _messages(batch.column(2), c), sums_now, weight)[1]
+            truth = belief.argmax(1)[e.item]
+            begin = np.repeat(np.cumsum(e.count) - e.count, e.count)
+            width = int(e.count.max()) if e.n else 0
+            found, values = [keys], [sums]
+            for step in range(1, width):  # each edge with the one so many places on
+                i = np.flatnonzero(np.arange(len(e.a)) + step < begin + e.count[e.item])
+                j = i + step
+                x, y = np.minimum(e.a[i], e.a[j]), np.maximum(e.a[i], e.a[j])
+                wi, wj = e.l[i] != truth[i], e.l[j] != truth[j]
+                t = truth[i]
+                chance = (habit[x, t] * habit[y, t]).sum(1) - habit[x, t, t] * habit[y, t, t]
+                low = np.where(e.a[i] <= e.a[j], wi, wj)
+                high = np.where(e.a[i] <= e.a[j], wj, wi)
+                found.append(x * a + y)
+                values.append(np.stack([wi & wj & (e.l[i] == e.l[j]), chance, low, high], axis=1).astype(float))
+            k, at = np.unique(np.concatenate(found), return_inverse=True)
+            v = np.concatenate(values)
+            keys, sums = k, np.stack([np.bincount(at, v[:, n], len(k)) for n in range(4)], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(sums[:, n]) for n in range(4)]], names=["k", "alike", "chance", "low", "high"])
+
+    ship(state.items.sparkSession)
+    rows = state.items.mapInArrow(work, "k bigint, alike double, chance double, low double, high double").groupBy("k").agg(*[F.sum(n).alias(n) for n in ("alike", "chance", "low", "high")])
+    t = rows.toArrow()
+    k, alike, chance, low, high = (t.column(n).to_numpy() for n in ("k", "alike", "chance", "low", "high"))
+    fewer = np.minimum(low, high)
     excess = np.where(fewer > 5, (alike - chance) / np.maximum(fewer - chance, 1.0), 0.0)
-    np.fill_diagonal(excess, 0.0)
-    return np.where(excess > SHARED, np.minimum(excess, 1.0), 0.0)
+    excess = np.where(excess > SHARED, np.minimum(excess, 1.0), 0.0)
+    return np.bincount(k // a, excess, a) + np.bincount(k % a, excess, a)
 
 
 class Consensus:
-    """The result: sums of each round, weights of the annotators, and the annotators by name."""
+    """The result: the last state, weights of the annotators, the annotators by name, rounds and whether they settled."""
 
-    def __init__(self, annotators: list[str], history: list[Sums], weight: np.ndarray):
-        self.annotators, self.history, self.weight = annotators, history, weight
+    def __init__(self, annotators: list[str], state: State, weight: np.ndarray, rounds: int, settled: bool):
+        self.annotators, self.state, self.weight, self.rounds, self.settled = annotators, state, weight, rounds, settled
 
 
 def run(items: DataFrame, annotators: list[str]) -> Consensus:
-    """Messages to convergence; ``items`` is read once a round and should be materialised."""
+    """Messages until they settle; ``items`` is diff_id and edges."""
     a, c = len(annotators), len(CATEGORIES)
     if a > MOST_ANNOTATORS:
         raise ValueError(f"{a} annotators; the sums of at most {MOST_ANNOTATORS} are held")
+    spark = items.sparkSession
     weight = np.ones(a)
-    history: list[Sums] = []
-    for _ in range(FIRST):
-        history.append(_sums(items, history, weight, a, c)[0])
-    weight = 1 / (1 + _dependence(items, history, weight, a, c).sum(1))
-    history = history[:1]
-    for _ in range(ROUNDS - 1):
-        s, moved = _sums(items, history, weight, a, c)
-        history.append(s)
-        if moved < SETTLED:
-            break
-    return Consensus(annotators, history, weight)
-
-
-def categories(items: DataFrame, result: Consensus) -> DataFrame:
+    first = state = _round(items.select("diff_id", "edges"), weight, a, c, None)
+    for _ in range(FIRST - 1):
+        state = _step(state, weight, a, c, keep=first)
+    weight = 1 / (1 + _dependence(state, weight, a, c))
+    _remove(spark, state.path)
+    state, rounds, settled = first, 0, a == 0
+    while rounds < MOST_ROUNDS and not settled:
+        state = _step(state, weight, a, c)
+        rounds += 1
+        settled = state.moved < SETTLED
+    if not settled:
+        warnings.warn(f"messages still move by {state.moved:.5f} after {rounds} rounds", stacklevel=2)
+    return Consensus(annotators, state, weight, rounds, settled)
+
+
+def _step(state: State, weight: np.ndarray, a: int, c: int, keep: State | None = None) -> State:
+    """One round; the state before is removed unless it is to be kept."""
+    new = _round(state.items.select("diff_id", "edges", "q"), weight, a, c, state)
+    if state is not keep:
+        _remove(state.items.sparkSession, state.path)
+    return new
+
+
+def categories(result: Consensus) -> DataFrame:
     """diff_id, category, confidence, votes, agreement (share of votes for the category), entropy of the votes in bits."""
     c = len(CATEGORIES)
+    sums, weight = result.state.sums, result.weight
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = Edges(batch.column(1))
-        _, _, belief = replay(e, result.history, result.weight, c)
+        belief = next_messages(e, _messages(batch.column(2), c), sums, weight)[1]
         one = np.zeros((len(e.a), c))
         one[np.arange(len(e.a)), e.l] = 1.0
         n = e.per_item(one)
@@ -243,13 +312,13 @@ def categories(items: DataFrame, result: Consensus) -> DataFrame:
         cols = [pa.array([CATEGORIES[i] for i in best], pa.string()), pa.array(belief[rows, best]), pa.array(n.sum(1).astype(np.int32)), pa.array(p[rows, best]), pa.array(bits)]
         return pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["diff_id", "category", "confidence", "votes", "agreement", "entropy"])
 
-    return map_batches(items.select("diff_id", "edges"), work, "diff_id string, category string, confidence double, votes int, agreement double, entropy double")
+    return map_batches(result.state.items.select("diff_id", "edges", "q"), work, "diff_id string, category string, confidence double, votes int, agreement double, entropy double")
 
 
 def reliability(spark, result: Consensus) -> DataFrame:
-    """annotator, ratings, reliability (expected share of right answers), weight, and what it shares with others."""
+    """annotator, ratings, reliability (expected share of right answers), weight, and the rounds and whether they settled."""
     rows = []
     for i, name in enumerate(result.annotators):
-        j = result.history[-1].joint[i]
-        rows.append((name, float(j.sum()), float(np.trace(j) / max(j.sum(), 1e-9)), float(result.weight[i])))
-    return spark.createDataFrame(rows, "annotator string, ratings double, reliability double, weight double")
+        j = result.state.sums.joint[i]
+        rows.append((name, float(j.sum()), float(np.trace(j) / max(j.sum(), 1e-9)), float(result.weight[i]), result.rounds, result.settled))
+    return spark.createDataFrame(rows, "annotator string, ratings double, reliability double, weight double, rounds int, settled boolean")
