@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from votemill.operators import classify as C
 from votemill.operators import gold as G
 from votemill.operators import sampling
 from votemill.operators import votes as V
+from votemill.session import checkpoint_dir
 from votemill.sources import records
 from votemill.sources.tables import table
 from votemill.streaming import pipeline as P
@@ -228,6 +231,18 @@ def stream_merged(spark, d):
     return P.run_append(P.once_per_id(both, "event_id", "ts", "365 days").drop("ts")).groupBy("producer", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def run_files(spark, d):
+    """The ratings written as lines of two runs, some lines blank or broken, read back: the last line of each diff, in the last run."""
+    base = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    r = table(spark, d, "recovered_20260714_204326").where("trim(diff_id) <> ''").groupBy("diff_id").agg(F.max("commit_hash").alias("commit_hash"), F.max("filename").alias("filename"))
+    line = lambda status: F.to_json(F.struct("diff_id", "commit_hash", "filename", F.lit(status).alias("status")))
+    first = r.select(F.explode(F.array(line("early"), F.lit(""), F.lit("{broken"), line("late"))).alias("value"))
+    second = r.where("length(diff_id) % 2 = 0").select(line("second run").alias("value"))
+    for name, t in (("primary_1.jsonl", first), ("primary_2.jsonl", second)):
+        t.write.text(f"{base}/{name}")
+    return records.run_records(spark, base).select("diff_id", "status")
+
+
 def limiter_waits(spark, d):
     """How long each event would wait where a type may have three events and values of 100 a quarter of an hour."""
     e = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
@@ -235,7 +250,7 @@ def limiter_waits(spark, d):
 
 
 chunk_aggregate, chunk_aggregate_mean, chunk_aggregate_any = _aggregated("max"), _aggregated("mean"), _aggregated("any")
-QUERIES = {f.__name__: f for f in (min_words, blank_profile, char_counts, duplicate_texts, json_scores, histogram_15, empirical_cdf, sliding_budget, lifecycle_pick, last_counts, ordered_types, log_lines, sheet_merge, worst_status, error_tags, chunk_plan, response_parse, response_cases, stratified_sample, stream_dedup, stream_window_counts, stream_sessions, stream_merged, limiter_waits)} | {"chunk_aggregate": chunk_aggregate, "chunk_aggregate_mean": chunk_aggregate_mean, "chunk_aggregate_any": chunk_aggregate_any}
+QUERIES = {f.__name__: f for f in (min_words, blank_profile, char_counts, duplicate_texts, json_scores, histogram_15, empirical_cdf, sliding_budget, lifecycle_pick, last_counts, ordered_types, log_lines, sheet_merge, worst_status, error_tags, chunk_plan, response_parse, response_cases, stratified_sample, stream_dedup, stream_window_counts, stream_sessions, stream_merged, limiter_waits, run_files)} | {"chunk_aggregate": chunk_aggregate, "chunk_aggregate_mean": chunk_aggregate_mean, "chunk_aggregate_any": chunk_aggregate_any}
 
 _AG = "with r as (select diff_id item, category_scores s from recovered_20260714_204326 where diff_id is not null), n as (select item, count(s) n from r group by 1), e as (select item, unnest(map_entries(s)) e from r where s is not null), x as (select item, e.key category, max(e.value) hi, sum(e.value) t, max(cast(e.value >= 0.5 as double)) a from e where e.key in ('System Overview', 'AI Integration', 'Documentation', 'Architecture', 'Impl. Details', 'Build and Run', 'Testing', 'Conf.&Env.', 'DevOps', 'Development Process', 'Project Management', 'Maintenance', 'Debugging', 'Performance', 'Security', 'UI/UX') group by 1, 2) "
 SQL = {
@@ -271,6 +286,7 @@ select diff_id, model, recorded_at, cast(kind as int) kind, case when kind = 3 t
     "chunk_aggregate": _AG + "select item, category, round(hi, 9) score from x where hi > 0",
     "chunk_aggregate_mean": _AG + "select item, category, round(t / n, 9) score from x join n using (item) where t > 0",
     "chunk_aggregate_any": _AG + "select item, category, a score from x where a > 0",
+    "run_files": "select distinct diff_id, case when length(diff_id) % 2 = 0 then 'second run' else 'late' end status from recovered_20260714_204326 where trim(diff_id) <> ''",
     "stream_merged": "select case when event_id % 2 = 0 then 'even' else 'odd' end producer, event_type, count(distinct event_id) n from events group by 1, 2",
     "limiter_waits": """with e as (select *, epoch_us(ts) t from events), w as (select a.event_id, a.t, a.value c, b.t bt, b.event_id bid, b.value bc from e a left join e b on a.event_type = b.event_type and (b.t < a.t or (b.t = a.t and b.event_id < a.event_id)) and b.t > a.t - 900000000),
 s as (select *, sum(bc) over (partition by event_id order by bt, bid) freed, sum(bc) over (partition by event_id) held, count(bt) over (partition by event_id) n, min(bt) over (partition by event_id) oldest from w)

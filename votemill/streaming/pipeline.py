@@ -57,6 +57,29 @@ def run_closed(rows: DataFrame, build: Callable[[DataFrame], DataFrame], time: s
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
+def run_replay(stream: DataFrame, key: str, store: str) -> DataFrame:
+    """Events with what is known first: rows stored by earlier runs (``replayed``), then the new ones, which are stored; each id once.
+
+    A batch is stored under its own number, so a batch that runs again replaces itself.
+    """
+    spark = stream.sparkSession
+
+    def stored() -> DataFrame:
+        return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{store}/rows")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        fresh = batch.dropDuplicates([key]).where(F.col(key).isNotNull())
+        known = stored().where(~F.col("_metadata.file_path").contains(f"/batch={n}/")).select(key)
+        fresh.join(known, key, "left_anti").write.mode("overwrite").parquet(f"{store}/rows/batch={n}")
+
+    checkpoint_dir(spark)
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{store}/rows/none")
+    before = stored().select(key).distinct().withColumn("replayed", F.lit(True)).checkpoint()
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{store}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stored().join(before, key, "left").na.fill(False, ["replayed"])
+
+
 def once_per_id(stream: DataFrame, key: str, time: str, late: str = "7 days") -> DataFrame:
     """Records whose id was not seen before; an id is forgotten ``late`` after its time, so the state is bounded."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
