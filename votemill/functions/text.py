@@ -46,6 +46,13 @@ def changed_count(patch: Column) -> Column:
     return F.size(F.filter(lines(patch), lambda x: x.rlike("^[+-]") & ~x.startswith("+++") & ~x.startswith("---")))
 
 
+def patch_profile(patch: Column) -> Column:
+    """added, removed and changed lines (the last with blank ones) and the changed text, from one split of the patch."""
+    marks = F.filter(lines(patch), lambda x: x.rlike("^(?:[+](?![+][+])|-(?!--))"))
+    parts = F.transform(marks, lambda x: F.struct(F.substring(x, 1, 1).alias("s"), strip(F.substring(x, 2, 2**31 - 1)).alias("t")))
+    return F.struct(F.size(marks).alias("changed"), F.filter(parts, lambda p: p["t"] != "").alias("full"))
+
+
 def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 20), F.lit(CUT))).otherwise(c)
 

@@ -131,13 +131,21 @@ def divergence_summary(items: DataFrame) -> DataFrame:
     """Means, Pearson's r of divergence and error (null on a constant side), mean error by thirds of the divergence.
 
     Thirds are cut by position, [0, n/3), [n/3, 2n/3), rest, in order of divergence and item.
-    Evaluated items are those with human labels, a sheet; their order needs one partition.
+    Places are counted in buckets of the order (a divergence and the first two characters of the
+    item); what comes before a bucket is a running sum, first over thousandths of the divergence.
     """
     x, y = F.col("category_divergence"), F.col("mean_error")
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    pos = F.row_number().over(Window.orderBy("category_divergence", "item")) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    third = F.when(pos < F.floor(n / 3), "low").when(pos < F.floor(2 * n / 3), "mid").otherwise("high")
-    cut = items.where("category_divergence is not null").withColumn("third", third)
+    order = [F.floor(x * 1000).alias("__a"), x.alias("__x"), F.substring("item", 1, 2).alias("__b")]
+    rows = items.where("category_divergence is not null").select("item", "category_divergence", "mean_error", *order)
+    key = ["__a", "__x", "__b"]
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    by_a = sizes.groupBy("__a").agg(F.sum("__n").alias("__m"))
+    # A thousand and one rows at most.
+    base = by_a.select("__a", (F.sum("__m").over(Window.orderBy("__a")) - F.col("__m")).alias("__base"), F.sum("__m").over(Window.partitionBy()).alias("__all"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy("__a").orderBy("__x", "__b")) - F.col("__n")).join(base, "__a").select(*key, (F.col("__base") + F.col("__before")).alias("__base"), "__all")
+    inside = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy("item")) - 1)
+    pos, n = F.col("__base") + F.col("__k"), F.col("__all")
+    cut = inside.join(before, key).withColumn("third", F.when(pos < F.floor(n / 3), "low").when(pos < F.floor(2 * n / 3), "mid").otherwise("high"))
     t = lambda k: F.avg(F.when(F.col("third") == k, y))
     return cut.agg(F.count(F.lit(1)).alias("items"), F.avg(x).alias("mean_divergence"), F.avg(y).alias("mean_error"), r.alias("pearson"), t("low").alias("error_low"), t("mid").alias("error_mid"), t("high").alias("error_high"))

@@ -19,27 +19,48 @@ SALTS = 64
 
 
 def quotas(sets: list[tuple[tuple[str, ...], int]], size: int) -> dict[tuple[str, ...], int]:
-    """How many items to take of each label set."""
+    """How many items to take of each label set.
+
+    While a label still wants items, the one that wants the fewest is served (ties: the rarest,
+    then by name) by the set that serves the most wanted labels.  When none does, the rest is
+    filled evenly: each set gives in proportion to what is left of it, by largest remainders.
+    A step looks at the labels and at the sets with the label served.
+    """
     left = dict(sets)
-    size = min(size, sum(left.values()))
     total = sum(left.values())
-    have: dict[str, int] = {}
+    size = min(size, total)
+    having: dict[str, list[tuple[str, ...]]] = {}
+    there: dict[str, int] = {}
     for labels, n in sets:
         for l in labels:
-            have[l] = have.get(l, 0) + n
-    want = {l: size * n / total for l, n in have.items()} if total else {}
+            having.setdefault(l, []).append(labels)
+            there[l] = there.get(l, 0) + n
+    want = {l: size * n / total for l, n in there.items()} if total else {}
     out: dict[tuple[str, ...], int] = {}
-    for _ in range(size):
-        open_ = [l for l in want if want[l] > 0 and any(n and l in s for s, n in left.items())]
-        if open_:
-            l = min(open_, key=lambda x: (want[x], have[x], x))
-            s = max((s for s, n in left.items() if n and l in s), key=lambda s: (sum(max(0.0, want[x]) for x in s), -len(s), s))
-        else:
-            s = max((s for s, n in left.items() if n), key=lambda s: (left[s], s))
+    taken = 0
+    while taken < size:
+        wanted = [l for l, w in want.items() if w > 0 and there[l] > 0]
+        if not wanted:
+            break
+        l = min(wanted, key=lambda x: (want[x], there[x], x))
+        s = max((s for s in having[l] if left[s]), key=lambda s: (sum(max(0.0, want[x]) for x in s), -len(s), s))
         left[s] -= 1
         out[s] = out.get(s, 0) + 1
+        taken += 1
         for x in s:
             want[x] -= 1
+            there[x] -= 1
+    rest, room = size - taken, sum(left.values())
+    if rest and room:
+        exact = {s: rest * n / room for s, n in left.items()}
+        give = {s: int(x) for s, x in exact.items()}
+        for s in sorted(exact, key=lambda s: (give[s] - exact[s], s)):
+            if sum(give.values()) == rest:
+                break
+            give[s] += give[s] < left[s]
+        for s, n in give.items():
+            if n:
+                out[s] = out.get(s, 0) + n
     return out
 
 

@@ -15,7 +15,7 @@ from votemill.operators import classify as C
 from votemill.operators import gold as G
 from votemill.operators import sampling
 from votemill.operators import votes as V
-from votemill.session import checkpoint_dir
+from votemill.session import checkpoint_dir, written
 from votemill.sources import records
 from votemill.sources.tables import table
 from votemill.streaming import pipeline as P
@@ -65,17 +65,20 @@ def histogram_15(spark, d):
 def empirical_cdf(spark, d):
     """The share of parts at or below each price, ties in the order of keys.
 
-    Prices are cut into 1024 bins of equal width: ranks run within a bin, and only the counts
-    of the bins are added up in one place.
+    Prices are cut into 1024 bins of equal width and each bin into ranges of keys, so that a price
+    of very many parts is spread: ranks run within a price and range, and only counts are added up.
     """
     t = table(spark, d, "part").where("p_retailprice is not null")
     lim = t.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"), F.count(F.lit(1)).alias("total"))
     part = F.coalesce(F.try_divide(F.col("p_retailprice") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    x = with_totals(t.select("p_partkey", "p_retailprice"), lim).withColumn("bin", F.least(F.floor(part * 1024), F.lit(1023)))
-    bins = x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    before = bins.select("bin", (F.sum("n").over(Window.orderBy("bin")) - F.col("n")).alias("below"))
-    inside = x.withColumn("k", F.row_number().over(Window.partitionBy("bin").orderBy("p_retailprice", "p_partkey")))
-    return inside.join(before, "bin").select("p_partkey", "p_retailprice", F.round((F.col("below") + F.col("k")) / F.col("total"), 9).alias("share"))
+    x = with_totals(t.select("p_partkey", "p_retailprice"), lim).withColumn("bin", F.least(F.floor(part * 1024), F.lit(1023))).withColumn("range", F.floor(F.col("p_partkey") / 100_000))
+    key = ["bin", "p_retailprice", "range"]
+    n = x.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    bins = n.groupBy("bin").agg(F.sum("n").alias("m"))
+    below = bins.select("bin", (F.sum("m").over(Window.orderBy("bin")) - F.col("m")).alias("below"))
+    before = n.withColumn("b", F.sum("n").over(Window.partitionBy("bin").orderBy("p_retailprice", "range")) - F.col("n")).join(below, "bin").select(*key, (F.col("b") + F.col("below")).alias("below"))
+    inside = x.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("p_partkey")))
+    return inside.join(before, key).select("p_partkey", "p_retailprice", F.round((F.col("below") + F.col("k")) / F.col("total"), 9).alias("share"))
 
 
 def sliding_budget(spark, d):
@@ -202,6 +205,16 @@ def stratified_sample(spark, d):
     return sampling.stratified_sample(s, 200).select("item", F.array_join("labels", "|").alias("labels"))
 
 
+def sample_balance(spark, d):
+    """By label, the orders that have it, and whether the sample has its share of them, to one order; the blank label stands for all orders."""
+    s = V.label_sets(V.line_panel(table(spark, d, "lineitem"), ("by_qty",))).select("item", "labels")
+    chosen = written(sampling.stratified_sample(s, 200))
+    count = lambda t, n: t.select(F.explode(F.concat("labels", F.array(F.lit("")))).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias(n))
+    total = s.agg(F.count(F.lit(1)).alias("total"))
+    x = with_totals(count(s, "have").join(count(chosen, "taken"), "label", "left").na.fill(0, ["taken"]), total)
+    return x.select("label", "have", (F.col("taken") > F.col("have") * F.least(F.lit(200), F.col("total")) / F.col("total") - 1).alias("balanced"))
+
+
 def stream_dedup(spark, d):
     """Events once per id, through a stream; ids are forgotten a year after their time."""
     e = P.stream_of(spark, f"{d}/events.parquet").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
@@ -250,7 +263,14 @@ def limiter_waits(spark, d):
 
 
 chunk_aggregate, chunk_aggregate_mean, chunk_aggregate_any = _aggregated("max"), _aggregated("mean"), _aggregated("any")
-QUERIES = {f.__name__: f for f in (min_words, blank_profile, char_counts, duplicate_texts, json_scores, histogram_15, empirical_cdf, sliding_budget, lifecycle_pick, last_counts, ordered_types, log_lines, sheet_merge, worst_status, error_tags, chunk_plan, response_parse, response_cases, stratified_sample, stream_dedup, stream_window_counts, stream_sessions, stream_merged, limiter_waits, run_files)} | {"chunk_aggregate": chunk_aggregate, "chunk_aggregate_mean": chunk_aggregate_mean, "chunk_aggregate_any": chunk_aggregate_any}
+QUERIES = {f.__name__: f for f in (min_words, blank_profile, char_counts, duplicate_texts, json_scores, histogram_15, empirical_cdf, sliding_budget, lifecycle_pick, last_counts, ordered_types, log_lines, sheet_merge, worst_status, error_tags, chunk_plan, response_parse, response_cases, stratified_sample, sample_balance, stream_dedup, stream_window_counts, stream_sessions, stream_merged, limiter_waits, run_files)} | {"chunk_aggregate": chunk_aggregate, "chunk_aggregate_mean": chunk_aggregate_mean, "chunk_aggregate_any": chunk_aggregate_any}
+
+def panel_sql(query: str) -> str:
+    """A query on the line panel's tables, which plans.panel defines."""
+    from votemill.plans.panel import _P
+
+    return _P + query
+
 
 _AG = "with r as (select diff_id item, category_scores s from recovered_20260714_204326 where diff_id is not null), n as (select item, count(s) n from r group by 1), e as (select item, unnest(map_entries(s)) e from r where s is not null), x as (select item, e.key category, max(e.value) hi, sum(e.value) t, max(cast(e.value >= 0.5 as double)) a from e where e.key in ('System Overview', 'AI Integration', 'Documentation', 'Architecture', 'Impl. Details', 'Build and Run', 'Testing', 'Conf.&Env.', 'DevOps', 'Development Process', 'Project Management', 'Maintenance', 'Debugging', 'Performance', 'Security', 'UI/UX') group by 1, 2) "
 SQL = {
@@ -286,6 +306,7 @@ select diff_id, model, recorded_at, cast(kind as int) kind, case when kind = 3 t
     "chunk_aggregate": _AG + "select item, category, round(hi, 9) score from x where hi > 0",
     "chunk_aggregate_mean": _AG + "select item, category, round(t / n, 9) score from x join n using (item) where t > 0",
     "chunk_aggregate_any": _AG + "select item, category, a score from x where a > 0",
+    "sample_balance": panel_sql("s as (select item, labels from st where rater = 'by_qty'), x as (select unnest(list_append(labels, '')) \"label\" from s) select \"label\", count(*) have, true balanced from x group by 1"),
     "run_files": "select distinct diff_id, case when length(diff_id) % 2 = 0 then 'second run' else 'late' end status from recovered_20260714_204326 where trim(diff_id) <> ''",
     "stream_merged": "select case when event_id % 2 = 0 then 'even' else 'odd' end producer, event_type, count(distinct event_id) n from events group by 1, 2",
     "limiter_waits": """with e as (select *, epoch_us(ts) t from events), w as (select a.event_id, a.t, a.value c, b.t bt, b.event_id bid, b.value bc from e a left join e b on a.event_type = b.event_type and (b.t < a.t or (b.t = a.t and b.event_id < a.event_id)) and b.t > a.t - 900000000),

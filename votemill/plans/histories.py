@@ -40,7 +40,11 @@ def prefix_windows(spark, d):
 def patch_counts(spark, d):
     """Added and removed lines, changed lines with blank ones, and a digest of the changed text, per file."""
     f = file_units(histories(spark, d, file=("patch",))).select("history_id", "commit_pos", "file_pos", F.col("f.patch").alias("p")).where("p is not null")
-    return f.select("history_id", "commit_pos", "file_pos", F.size(X.patch_lines(F.col("p"), "+")).alias("added"), F.size(X.patch_lines(F.col("p"), "-")).alias("removed"), X.changed_count(F.col("p")).alias("changed"), F.md5(X.changed(F.col("p"))).alias("digest")).distinct()
+    x = f.select("history_id", "commit_pos", "file_pos", X.patch_profile(F.col("p")).alias("x"))
+    added = F.aggregate("x.full", F.lit(0), lambda n, p: n + F.when(p["s"] == "+", 1).otherwise(0))
+    text = F.array_join(F.transform("x.full", lambda p: F.concat(p["s"], F.lit(" "), p["t"])), "\n")
+    y = x.select("history_id", "commit_pos", "file_pos", "x.changed", F.size("x.full").alias("full"), added.alias("added"), F.md5(text).alias("digest"))
+    return y.select("history_id", "commit_pos", "file_pos", "added", (F.col("full") - F.col("added")).alias("removed"), "changed", "digest").distinct()
 
 
 def patch_missing_reason(spark, d):
@@ -89,8 +93,10 @@ def top_contributors(spark, d):
 def repo_distribution(spark, d):
     """Repositories by their most delivered diffs: smallest, median, mean, largest, and how many reach 3, 5, 10."""
     r = table(spark, d, "git_history_diffs").groupBy("repo").agg(F.max("total_diffs_found").alias("n")).where("n is not null")
-    at = [F.count(F.when(F.col("n") >= k, 1)).alias(f"at_least_{k}") for k in (3, 5, 10)]
-    return r.agg(F.count(F.lit(1)).alias("repos"), F.min("n").alias("least"), F.floor(F.percentile("n", 0.5)).alias("median"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), *at)
+    # Equal numbers are counted first, so the percentile holds the distinct numbers only.
+    c = r.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    at = [F.coalesce(F.sum(F.when(F.col("n") >= k, F.col("k"))), F.lit(0)).alias(f"at_least_{k}") for k in (3, 5, 10)]
+    return c.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("repos"), F.min("n").alias("least"), F.floor(F.percentile("n", 0.5, F.col("k"))).alias("median"), F.round(F.try_divide(F.sum(F.col("n") * F.col("k")), F.sum("k")), 6).alias("mean"), F.max("n").alias("most"), *at)
 
 
 def valid_repo_semi(spark, d):
@@ -125,18 +131,22 @@ def resume_anti(spark, d):
 
 
 def upsert_merge(spark, d):
-    """The ratings' messages merged into the histories' commits by hash: non-empty new values win, unknown hashes are added."""
-    old = commit_units(histories(spark, d, commit=("hash", "commit_message"))).where("trim(c.hash) <> ''").groupBy("c.hash").agg(F.min("c.commit_message").alias("old"))
-    new = table(spark, d, "recovered_20260714_204326").where("trim(commit_hash) <> ''").groupBy(F.col("commit_hash").alias("hash")).agg(F.max("commit_message").alias("new"))
-    return old.join(new, "hash", "full").select("hash", F.md5(F.coalesce(F.nullif("new", F.lit("")), "old")).alias("digest"), F.col("old").isNull().alias("added"))
+    """The ratings' messages merged into the histories' commits by repository and hash: non-empty new values win, unknown hashes are added.  A missing repository is blank."""
+    h = histories(spark, d, repo=("repo",), commit=("hash", "commit_message")).select(F.coalesce("repo", F.lit("")).alias("repo"), F.explode("acf_commits").alias("c"))
+    old = h.where("trim(c.hash) <> ''").groupBy("repo", "c.hash").agg(F.min("c.commit_message").alias("old"))
+    new = table(spark, d, "recovered_20260714_204326").where("trim(commit_hash) <> ''").groupBy(F.coalesce("repo", F.lit("")).alias("repo"), F.col("commit_hash").alias("hash")).agg(F.max("commit_message").alias("new"))
+    return old.join(new, ["repo", "hash"], "full").select("repo", "hash", F.md5(F.coalesce(F.nullif("new", F.lit("")), "old")).alias("digest"), F.col("old").isNull().alias("added"))
 
 
 def nested_groups(spark, d):
-    """Repositories with their commits and the files of each, from flat rows back to nested ones, as JSON."""
+    """Repositories with their commits and the files of each, from flat rows back to nested ones.
+
+    A repository comes in slices by month, so that no row holds all of a large one.
+    """
     f = _diffs(spark, d).where("repo is not null and commit_time is not null and filename is not null").select("repo", F.split("diff_id", ":")[0].alias("hash"), "commit_time", "filename")
     commits = f.groupBy("repo", "hash").agg(F.min("commit_time").alias("t"), F.array_join(F.sort_array(F.collect_set("filename")), ",").alias("files"))
     flat = commits.withColumn("x", F.concat_ws("|", "t", "hash", "files"))
-    return flat.groupBy("repo").agg(F.array_join(F.sort_array(F.collect_list("x")), "\n").alias("commits"))
+    return flat.groupBy("repo", F.substring("t", 1, 7).alias("month")).agg(F.array_join(F.sort_array(F.collect_list("x")), "\n").alias("commits"))
 
 
 def message_functions(spark, d):
@@ -192,10 +202,10 @@ select {_K}, cast(file_pos as int) file_pos, cast(length(t) as int) chars, md5(t
     "unicode_filter": _F + f"x as (select 1) select {_K} from c where regexp_matches(c.commit_message, '[\\x{{3040}}-\\x{{30FF}}\\x{{AC00}}-\\x{{D7AF}}\\x{{1100}}-\\x{{11FF}}\\x{{3130}}-\\x{{318F}}]')",
     "excluded_anti": _F + "x as (select 1) select distinct history_id, repo from git_history_diffs g where not exists (select 1 from c where c.repo = g.repo and regexp_matches(c.commit_message, '[\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}]'))",
     "resume_anti": _F + "i as (select distinct c.hash || ':' || f.filename diff_id from f join c using (history_id, commit_pos) where trim(c.hash) <> '' and f.filename is not null) select diff_id from i where diff_id not in (select diff_id from recovered_20260714_204326 where diff_id is not null)",
-    "upsert_merge": _F + """o as (select c.hash, min(c.commit_message) o from c where trim(c.hash) <> '' group by 1), n as (select commit_hash hash, max(commit_message) n from recovered_20260714_204326 where trim(commit_hash) <> '' group by 1)
-select hash, md5(coalesce(nullif(n, ''), o)) digest, o is null added from o full join n using (hash)""",
+    "upsert_merge": _F + """o as (select coalesce(repo, '') repo, c.hash, min(c.commit_message) o from c where trim(c.hash) <> '' group by 1, 2), n as (select coalesce(repo, '') repo, commit_hash hash, max(commit_message) n from recovered_20260714_204326 where trim(commit_hash) <> '' group by 1, 2)
+select repo, hash, md5(coalesce(nullif(n, ''), o)) digest, o is null added from o full join n using (repo, hash)""",
     "nested_groups": _D + """k as (select repo, split_part(diff_id, ':', 1) hash, min(commit_time) t, string_agg(distinct filename, ',' order by filename) files from df where repo is not null and commit_time is not null and filename is not null group by 1, 2)
-select repo, string_agg(t || '|' || hash || '|' || files, chr(10) order by t || '|' || hash || '|' || files) commits from k group by 1""",
+select repo, t[1:7] "month", string_agg(t || '|' || hash || '|' || files, chr(10) order by t || '|' || hash || '|' || files) commits from k group by 1, 2""",
     "message_functions": _F + f"""m as (select history_id, commit_pos, c.commit_message m from c where c.commit_message is not null)
 select {_K}, string_split_regex(m, '{_BR}')[1] first_line, case when length(m) > 80 then m[1:60] || chr(10) || '...TRUNCATED...' else m end cut, cast(greatest(1, length(m) // 4) as int) tokens, length(m) - length(replace(m, '?', '')) >= 3 marks from m""",
     "url_anchor": _D + "x as (select 1) select distinct diff_id, 'https://git.example/' || repo || '/commit/' || split_part(diff_id, ':', 1) || '#diff-' || sha256(filename) url, trim(regexp_replace(diff_id, '[^A-Za-z0-9._-]+', '_', 'g'), '._-') safe from df where filename is not null and repo is not null",

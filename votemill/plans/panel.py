@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from votemill.functions.scalars import with_totals
 from votemill.operators import agreement as A
 from votemill.operators import votes as V
+from votemill.session import written
 from votemill.sources.tables import table
 
 _R9 = lambda c: F.round(c, 9).alias(c)
@@ -89,13 +91,17 @@ def panel_class_agreement(spark, d):
 
 
 def label_bias(spark, d):
-    """How often a category is the primary one, how often it is present at all, and the difference, in per cent of the items."""
-    s = _scores(spark, d, ("by_qty",))
-    n = s.groupBy("item").agg(F.lit(1)).count()
-    prim = V.primary_votes(s).groupBy(F.col("label").alias("category")).agg(F.count(F.lit(1)).alias("primary_count"))
-    gen = s.where(F.col("score") >= V.PRESENT).groupBy("category").agg(F.count(F.lit(1)).alias("general_count"))
-    j = prim.join(gen, "category", "full").na.fill(0, ["primary_count", "general_count"])
-    pct = lambda c: F.try_divide(F.col(c) * 100.0, F.lit(n))
+    """How often a category is the primary one, how often it is present at all, and the difference, in per cent of the items.
+
+    One pass: an item's ballot gives its primary and its present categories, and itself once.
+    """
+    b = V.ballots(_scores(spark, d, ("by_qty",)))
+    one = lambda c, p, g, n: F.struct(c.alias("category"), F.lit(p).alias("p"), F.lit(g).alias("g"), F.lit(n).alias("n"))
+    rows = F.concat(F.array(one(F.lit(None).cast("string"), 0, 0, 1), one(F.col("label"), 1, 0, 0)), F.transform("labels", lambda c: one(c, 0, 1, 0)))
+    t = b.select(F.inline(rows)).groupBy("category").agg(F.sum("p").alias("primary_count"), F.sum("g").alias("general_count"), F.sum("n").alias("n"))
+    t = written(t)  # a row a category
+    pct = lambda c: F.try_divide(F.col(c) * 100.0, F.col("items"))
+    j = with_totals(t.where("category is not null").drop("n"), t.agg(F.sum("n").alias("items")))
     return j.select("category", "primary_count", "general_count", F.round(pct("general_count") - pct("primary_count"), 9).alias("bias_delta")).orderBy(F.desc("bias_delta"), "category")
 
 
@@ -121,9 +127,27 @@ def label_activation(spark, d):
 
 
 def score_quartiles(spark, d):
-    """Quartiles of the scores above zero, by category."""
-    q = _scores(spark, d, ("by_qty",)).where("score > 0").groupBy("category").agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    return q.select("category", F.round(F.col("q")[0], 6).alias("q1"), F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[2], 6).alias("q3"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    """Quartiles of the scores above zero, by category.
+
+    Equal scores (of six digits) are counted before anything is gathered; the running sums are
+    over the distinct scores of a category, of which there are a million at most.
+    """
+    n = _scores(spark, d, ("by_qty",)).where("score > 0").groupBy("category", "score").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("category")
+    x = n.withColumn("upto", F.sum("n").over(w.orderBy("score"))).withColumn("all", F.sum("n").over(w))
+
+    def at(place):
+        """The score at a place from 0."""
+        return F.min(F.when(F.col("upto") > place, F.col("score")))
+
+    def quartile(q):
+        pos = (F.col("all") - 1) * q
+        low = F.floor(pos)
+        return [at(low).alias(f"low{q}"), at(F.ceil(pos)).alias(f"high{q}"), F.max(pos - low).alias(f"part{q}")]
+
+    g = x.groupBy("category").agg(*[c for q in (0.25, 0.5, 0.75) for c in quartile(q)], F.min("score").alias("lo"), F.max("score").alias("hi"))
+    value = lambda q: F.round(F.col(f"`low{q}`") + (F.col(f"`high{q}`") - F.col(f"`low{q}`")) * F.col(f"`part{q}`"), 6)
+    return g.select("category", value(0.25).alias("q1"), value(0.5).alias("median"), value(0.75).alias("q3"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 def flagged_labels(spark, d):
