@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from votemill.llm.common import map_batches
+from votemill.llm.common import Shipped, map_batches
 
 TOKENIZERS = "/opt/tokenizers"
 LONG = 256
@@ -39,6 +39,9 @@ class ByteBPE:
         self.split = regex.compile(PATTERN).findall
         self.memo: dict[str, tuple[int, ...]] = {}
 
+    def __reduce__(self):
+        return ByteBPE, (self.ranks,)
+
     def word(self, w: bytes) -> list[int]:
         """The ids of one word's bytes."""
         whole = self.ranks.get(w)
@@ -101,7 +104,7 @@ class ByteBPE:
 
 @lru_cache(maxsize=2)
 def load(name: str, folder: str = TOKENIZERS) -> ByteBPE:
-    """The encoder of ``name``.tiktoken in ``folder``; once per worker."""
+    """The encoder of ``name``.tiktoken in ``folder``; the driver reads it and sends it to the tasks."""
     with open(f"{folder}/{name}.tiktoken", "rb") as f:
         return ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
@@ -109,8 +112,10 @@ def load(name: str, folder: str = TOKENIZERS) -> ByteBPE:
 def encode(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """Columns ``key`` and ids: one row per row of ``df``; no shuffle."""
 
+    sent = Shipped(df, load(name, folder))
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = load(name, folder)
+        bpe = sent.get()
         all_ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
         offsets = np.zeros(len(all_ids) + 1, np.int32)
         np.cumsum([len(x) for x in all_ids], out=offsets[1:])
@@ -125,8 +130,10 @@ def sizes(df: DataFrame, text: str, name: str = "byte_bpe_50k", folder: str = TO
     """The other columns of ``df`` and n_tokens; the text itself is not passed on."""
     others = [c for c in df.columns if c != text]
 
+    sent = Shipped(df, load(name, folder))
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = load(name, folder)
+        bpe = sent.get()
         n = pa.array([len(bpe.encode(t)) for t in batch.column(0).to_pylist()], pa.int64())
         return pa.RecordBatch.from_arrays([*[batch.column(i + 1) for i in range(len(others))], n], names=[*others, "n_tokens"])
 

@@ -32,6 +32,7 @@ GAIN = 0.7  # how much more usual a restored word must be, in powers of ten
 FEW = 2  # a word is doubtful if one of its characters was seen so often or less where it stands
 SIGN = 0.03  # weight of the count of a sign against that of a letter
 MEMO_WORDS = 200_000
+MEMO_CHARS = 200  # longer words are not remembered
 
 # Names of the codecs, as Python knows them.
 MULTI_AS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "iso8859-15", "iso8859-2", "koi8-r")
@@ -292,9 +293,10 @@ class Mender:
                 best, text, how = u, r, k
         if how >= 0:
             got = (text, " > ".join(self.pairs[how]))
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
-        self.memo[word] = got
+        if len(word) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_WORDS:
+                self.memo.clear()
+            self.memo[word] = got
         return got
 
     def quoted(self, word: str) -> dict[int, str]:
@@ -305,11 +307,13 @@ class Mender:
 
     def _both_quotes(self, text: str) -> dict[str, tuple[str, str]]:
         """The two words of a quotation whose marks were garbled by one pair; either alone would prove nothing."""
-        halves = [(w, h) for w in dict.fromkeys(_TOKEN.findall(text)) if not w.isascii() and not self.mend_word(w) and (h := self.quoted(w))]
-        for i, (a, x) in enumerate(halves):
-            for b, y in halves[i + 1 :]:
-                for k in x.keys() & y.keys():
-                    return {w: (h[k], " > ".join(self.pairs[k])) for w, h in ((a, x), (b, y))}
+        first: dict[int, tuple[str, str]] = {}  # by pair, a word that is half a quotation, and it restored
+        for w in dict.fromkeys(_TOKEN.findall(text)):
+            if not w.isascii() and not self.mend_word(w):
+                for k, h in self.quoted(w).items():
+                    if k in first:
+                        return {x: (r, " > ".join(self.pairs[k])) for x, r in (first[k], (w, h))}
+                    first[k] = w, h
         return {}
 
     def mend(self, text: str | None) -> tuple[bool, str | None, str | None, bool]:
