@@ -110,3 +110,20 @@ def test_answers_as_they_are_shown(spark):
     assert one(O.rescue_category(lit("Add a TEST"))) == "Testing" and one(O.rescue_category(lit("nothing known"))) == O.RESCUE_DEFAULT
     assert one(O.prior_display(lit("2024-01-02T03:04"), lit(" a \n b " + "x" * 90))) == "2024-01-02 — a b " + "x" * 75 + "…" and one(O.prior_display(lit(None).cast("string"), lit(None).cast("string"))) == ""
     assert one(O.path_pattern(lit("a.b/c"))) == "^a\\.b/c$" and one(O.ascii_only(lit("é1"))) == "?1" and one(O.without_controls(lit("a\x01b"))) == "ab"
+
+
+def test_listings_end_where_the_service_ends(spark, tmp_path):
+    from votemill.sources import listings
+
+    rows = [("a", 0, 200, ["1", None, "2"], "9"), ("a", 1, 200, ["3", " ", "4"], "0"), ("a", 2, 200, ["5"], "9"), ("b", 0, 404, None, None), ("c", 0, 200, ["7"], "9"), ("c", 1, 200, [], "9"), ("c", 2, 200, ["8"], "9")]
+    p = spark.createDataFrame(rows, "k string, page int, status int, commits array<string>, remaining string")
+    t = spark.createDataFrame([("a", "2"), ("c", "none")], "k string, target string")
+    assert sorted(map(tuple, listings.commits(p, ["k"]).collect())) == [("a", 0, "1"), ("a", 1, "2"), ("a", 2, "3"), ("a", 3, "4"), ("c", 0, "7")]
+    assert sorted(map(tuple, listings.windows(p, t, ["k"], 2).collect())) == [("a", "window", 0, "2"), ("a", "window", 1, "3"), ("c", "latest", 0, "7")]
+    assert [tuple(r) for r in listings.failures(p, ["k"]).collect()] == [("b", 404)]
+    env = tmp_path / ".env"
+    env.write_text("# note\nexport A = 'x y'\nB=1\nnothing\n=3\n")
+    assert listings.settings(str(env), {"B": "2", "C": "3"}) == {"A": "x y", "B": "2"} and listings.settings(str(env) + "no", {}) == {}
+    shown = ['{"model_info": {"x.context_length": 4096}}', '{"parameters": "stop x\\nnum_ctx   2048"}', '{"modelfile": "FROM a\\nparameter num_ctx 512"}', "{}", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(shown)], "i int, s string")
+    assert [r.n for r in df.orderBy("i").select(O.context_size(F.col("s")).alias("n")).collect()] == [4096, 2048, 512, None, None]

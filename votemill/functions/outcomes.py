@@ -145,6 +145,13 @@ def logprobs(answer: Column) -> Column:
     return F.coalesce(*[numbers(F.get_json_object(answer, t)) for t in texts])
 
 
+def context_size(shown: Column) -> Column:
+    """The context length in a model's description (JSON text): of its info, its parameters, or its file; null if none says."""
+    info = F.map_filter(F.from_json(F.get_json_object(shown, "$.model_info"), "map<string,string>"), lambda k, v: k.contains("context_length") & (v.try_cast("int") > 0))
+    number = lambda place, pattern: F.nullif(F.regexp_extract(F.coalesce(F.get_json_object(shown, place), F.lit("")), pattern, 1), F.lit("")).try_cast("int")
+    return F.coalesce(F.try_element_at(F.map_values(info), F.lit(1)).try_cast("int"), number("$.parameters", r"num_ctx\s+(\d+)"), number("$.modelfile", r"(?i)PARAMETER\s+num_ctx\s+(\d+)"))
+
+
 def prompt(diff_id: Column, filename: Column, message: Column, text: Column) -> Column:
     """The user's part of a prompt as JSON; nulls are blank."""
     blank = lambda c: F.coalesce(c, F.lit(""))

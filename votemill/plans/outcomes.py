@@ -15,7 +15,7 @@ from votemill.operators import classify as C
 from votemill.operators import gold as G
 from votemill.operators import votes as V
 from votemill.plans import basics, histories as H, panel, ratings
-from votemill.sources import taxonomy
+from votemill.sources import listings, taxonomy
 from votemill.sources.tables import commit_units, file_units, histories, table
 
 _R9 = lambda c: F.round(c, 9).alias(c)
@@ -270,6 +270,25 @@ def best_summaries(spark, d):
     return C.best_summary(p, top).select("item", F.md5("summary").alias("digest"))
 
 
+def commit_windows(spark, d):
+    """Three commits from the second of each history on, as a paged listing of two a page gives them; the newest where there is no second."""
+    h = histories(spark, d, repo=("delivered_at",), commit=("hash",)).where("history_id is not null").groupBy("history_id").agg(F.min(F.struct("delivered_at", "acf_commits")).alias("m"))
+    all_ = F.filter(F.transform("m.acf_commits", lambda c: c["hash"]), lambda x: F.trim(x) != "")
+    x = h.select("history_id", all_.alias("hs")).where("size(hs) > 0")
+    page = F.explode(F.sequence(F.lit(0), F.floor((F.size("hs") - 1) / 2).cast("int"))).alias("page")
+    pages = x.select("history_id", "hs", page).select("history_id", "page", F.lit(200).alias("status"), F.slice("hs", F.col("page") * 2 + 1, 2).alias("commits"), F.lit("9").alias("remaining"))
+    targets = x.select("history_id", F.get("hs", F.lit(1)).alias("target")).where("target is not null")
+    return listings.windows(pages, targets, ["history_id"], 3).select("history_id", "source", F.col("step").cast("bigint").alias("step"), "hash")
+
+
+def refetch_targets(spark, d):
+    """Rated commits whose message has to be read again: missing in the histories, or with three or more question marks."""
+    m = commit_units(histories(spark, d, commit=("hash", "commit_message"))).where("trim(c.hash) <> ''").groupBy(F.col("c.hash").alias("hash")).agg(F.max("c.commit_message").alias("m"))
+    r = _ratings(spark, d).where("trim(commit_hash) <> ''").select(F.col("commit_hash").alias("hash")).distinct()
+    marks = F.length("m") - F.length(F.replace("m", F.lit("?"), F.lit("")))
+    return r.join(m, "hash", "left").where(F.col("m").isNull() | (marks >= 3)).select("hash")
+
+
 _RATED = "from recovered_20260714_204326 where diff_id is not null"
 _CATS = "['System Overview', 'AI Integration', 'Documentation', 'Architecture', 'Impl. Details', 'Build and Run', 'Testing', 'Conf.&Env.', 'DevOps', 'Development Process', 'Project Management', 'Maintenance', 'Debugging', 'Performance', 'Security', 'UI/UX']"
 _OUT = f"""with o as (select diff_id, primary_result.model model, status, category_scores s, coalesce(chunk_plan.original_chars, 0) changed, coalesce(len(primary_result.validation_errors), 0) wrong, primary_result.validation_errors errs, coalesce(primary_result.diff_retry_count, 0) tries, primary_result.error error {_RATED}),
@@ -281,7 +300,7 @@ _bounds = lambda p: re.sub(r"\\b(?=[a-z])", r"(?:^|[^\\pL\\pN_])", p).replace("\
 _RESCUE = "case " + " ".join(f"when regexp_matches(t, '{_bounds(p)}') then '{c}'" for p, c in O.RESCUE) + f" else '{O.RESCUE_DEFAULT}' end"
 _MV = "case when pe >= 1 - 1e-12 then case when po >= 1 - 1e-12 then 1.0 end else (po - pe) / (1 - pe) end"
 
-QUERIES = {f.__name__: f for f in (rescue_categories, chunk_statuses, retry_candidates, missing_list_records, error_split, eval_records, result_lists, reference_records, filled_rows, rater_alignment, rater_id_sets, observed_keys, taxonomy_lookup, file_match, panel_vs_reference_category, panel_pooled_category, maintenance_by_type, maintenance_vs_reference, gold_coverage, lifecycle_sequence, ranked_categories, bias_ranks, newest_diffs, sample_reuse, prior_displays, message_cleaning, repo_slugs, single_label_scores, best_rationales, best_summaries)}
+QUERIES = {f.__name__: f for f in (rescue_categories, chunk_statuses, retry_candidates, missing_list_records, error_split, eval_records, result_lists, reference_records, filled_rows, rater_alignment, rater_id_sets, observed_keys, taxonomy_lookup, file_match, panel_vs_reference_category, panel_pooled_category, maintenance_by_type, maintenance_vs_reference, gold_coverage, lifecycle_sequence, ranked_categories, bias_ranks, newest_diffs, sample_reuse, prior_displays, message_cleaning, repo_slugs, single_label_scores, best_rationales, best_summaries, commit_windows, refetch_targets)}
 SQL = {
     "rescue_categories": H._LN + f""", rs as (select history_id, commit_pos, file_pos, lower(array_to_string([x[2:] for x in ls if x[1] in ('+', '-') and x[1:3] not in ('+++', '---')], chr(10))) t, len([x for x in ch if x.s = '+' and x.t <> '']) a, len(ch) n from st)
 select {H._K}, cast(file_pos as int) file_pos, {_RESCUE} category, case when a > 0 then '+' else '-' end direction from rs where n > 0""",
@@ -328,6 +347,9 @@ select cast(place as int) place, case when coalesce(t, '') <> '' then t[1:10] el
 select {H._K}, trim(dy || ' — ' || case when length(m) > 80 then rtrim(m[1:79]) || '…' else m end, ' —') shown, md5(regexp_replace(regexp_replace(raw, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '[^\\x00-\\x7F]', '?', 'g')) ascii, paths from m""",
     "message_cleaning": H._F + f"""m as (select history_id, commit_pos, c.commit_message m from c where c.commit_message is not null)
 select {H._K}, md5(trim(regexp_replace(replace(m, chr(65533), ''), '{H._SP}', ' ', 'g'))) clean, md5(regexp_replace(m, '\\b(?:sk|key|token)[-_][A-Za-z0-9]{{6,}}\\b', '[REDACTED]', 'g')) redacted, try_cast(nullif(regexp_extract(lower(m), '(?:in\\s+)?(\\d+(?:\\.\\d+)?)\\s*s', 1), '') as double) wait from m""",
+    "commit_windows": """with h as (select history_id, arg_min(acf_commits, delivered_at) cs from git_history_diffs where history_id is not null group by 1), x as (select history_id, [c.hash for c in cs if trim(c.hash) <> ''] hs from h), y as (select history_id, hs, case when len(hs) > 1 then list_position(hs, hs[2]) else 1 end p from x where len(hs) > 0),
+z as (select history_id, hs, p, unnest(range(0, 3)) step from y) select history_id, case when len(hs) > 1 then 'window' else 'latest' end source, step, hs[p + step] hash from z where p + step <= len(hs)""",
+    "refetch_targets": "with u as (select unnest(acf_commits) c from git_history_diffs), m as (select c.hash hash, max(c.commit_message) txt from u where trim(c.hash) <> '' group by 1) select distinct commit_hash hash from recovered_20260714_204326 left join m on commit_hash = m.hash where diff_id is not null and trim(commit_hash) <> '' and (txt is null or length(txt) - length(replace(txt, '?', '')) >= 3)",
     "repo_slugs": "select distinct repo, replace(regexp_extract('https://git.example/' || repo || '.git', '([^/]+/[^/]+?)(?:\\.git)?/?$', 1), '/', '_') slug, case when length(repo) % 4 = 0 then 'public_repo' when length(repo) % 4 = 1 then 'owner_not_found' when length(repo) % 4 = 2 then 'access_denied_or_private' else 'repo_missing_or_private' end access from git_history_diffs where repo is not null",
     "single_label_scores": f"""with r as (select primary_result.primary_category l, least(1e0, greatest(0e0, coalesce(category_scores[primary_result.primary_category], 0e0))) s, [v for v in map_values(category_scores) if v > 0] vs {_RATED} and primary_result.primary_category is not null)
 select case when s >= 0.5 then l else 'Impl. Details' end category, count(*) n, round(sum(case when vs is null then null when len(vs) = 0 then 0e0 else 1e0 end), 6) scaled, round(sum(case when l = 'UI/UX' then s else (1 - s) / 15 end), 6) on_last from r group by 1""",
