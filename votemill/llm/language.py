@@ -69,13 +69,14 @@ _NAME = re.compile(
 )
 _LEAD = re.compile(r"^\s*(?:[-*+#>|=;:!]+|\d+[.)]|\[[ xX]\]|h[1-6]\.|bq\.|[a-z]+(?:\([\w-]+\))?:(?=\s))\s*")
 _SPLIT = re.compile(r"(?<=[.!?…])[\s\"'”’»)*_~]+|(?<=[。！？])|\s+/\s+|\s*\|+\s*")
-_END = re.compile(r"[.!?…。！？:]$")
 _EAST = "぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ"
 _WORD = re.compile(rf"[{_EAST}]+|(?:(?![{_EAST}])[^\W\d_])+(?:['’](?:(?![{_EAST}])[^\W\d_])+)*")
-_CODELIKE = re.compile(r"[{}<>=$;]|\w\(|\)\s*[{;]|^\s*(?:import|from|export|let|const|return|assert|SELECT|copy|tar|if)\b|\|\||&&|::|->")
-_MASKED = re.compile(r"[/_\\@#<\d]|\.[a-z]|[a-z][A-Z]|(?<!\w)-")  # without one of these _NAME finds nothing
+_CODESIGN = re.compile(r"[{}<>=$;]|\w\(|\)\s*[{;]|\|\||&&|::|->")
+_MAYBE_CODE = re.compile(r"[{}<>=$;(|&]|::|->")  # without one of these _CODESIGN finds nothing
+_CODEWORDS = frozenset("import from export let const return assert SELECT copy tar if".split())
+_FIRST = re.compile(r"\s*(\w+)\b")
+_AROUND = ".,;:!?…\"'()[]{}*_~“”„«»’‘"
 _CUT = re.compile(r"[。！？/|]|[.!?…][\s\"'”’»)*_~]")  # without one of these _SPLIT cuts nothing
-_EASTERN = re.compile(rf"[{_EAST}]")
 _DIFF_SKIP = ("@@", "diff --git", "+++ ", "--- ", "\\ No newline", "index ")
 
 
@@ -123,26 +124,41 @@ def _line_pieces(line: str) -> list[tuple[tuple[str, ...], bool, int]]:
     s = s.strip(" \t\r*_~'=}{\"”“«»„‘")
     if not s or s.isascii() and not any(c.isalpha() for c in s):
         return out
-    for _ in range(3):
-        s, n = _LEAD.subn("", s, count=1)
-        if not n:
-            break
-    codelike = bool(_CODELIKE.search(s))
+    if not s[0].isalpha() or ":" in s or s[:3] == "bq." or s[2:3] == ".":
+        for _ in range(3):
+            s, n = _LEAD.subn("", s, count=1)
+            if not n:
+                break
+    first = _FIRST.match(s)
+    codelike = bool(first and first.group(1) in _CODEWORDS) or bool(_MAYBE_CODE.search(s) and _CODESIGN.search(s))
     for part in _SPLIT.split(s) if _CUT.search(s) else (s,):
         if not part:
             continue
-        whole = bool(_END.search(part.rstrip(" \"'”’»)*_~")))
+        whole = part.rstrip(" \"'”’»)*_~")[-1:] in _ENDS
         if codelike and not whole:
             continue
-        if _MASKED.search(part):
-            part = _NAME.sub(" ", part)
-        words = tuple(_WORD.findall(part.lower()))
-        size = _size(words) if _EASTERN.search(part) else len(words)
+        words = _words(part)
+        size = len(words) if part.isascii() else _size(words)
         if size >= (5 if codelike else 3):
             out.append((words, whole, size))
     return out
 
 
+_ENDS = frozenset(".!?…。！？:")
+
+
+def _words(part: str) -> tuple[str, ...]:
+    """The words of a sentence in lower case, without names, paths, commands and code; these are told token by token."""
+    out: list[str] = []
+    for token in part.split():
+        core = token.strip(_AROUND)
+        if core.isalpha() and (core[1:].islower() or len(core) == 1) and (core.isascii() or max(core) < "぀") and token[0] not in "@#":
+            out.append(core.lower())
+        else:
+            out += _WORD.findall(_NAME.sub(" ", token).lower())
+    return tuple(out)
+
+
 def pieces(text: str | None, diff: bool = False) -> list[Piece]:
     """The sentences and phrases of a text; of a diff without its marks and headers."""
     out: list[Piece] = []
