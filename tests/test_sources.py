@@ -127,3 +127,19 @@ def test_listings_end_where_the_service_ends(spark, tmp_path):
     shown = ['{"model_info": {"x.context_length": 4096}}', '{"parameters": "stop x\\nnum_ctx   2048"}', '{"modelfile": "FROM a\\nparameter num_ctx 512"}', "{}", None]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(shown)], "i int, s string")
     assert [r.n for r in df.orderBy("i").select(O.context_size(F.col("s")).alias("n")).collect()] == [4096, 2048, 512, None, None]
+
+
+def test_sheets_and_logs(spark, tmp_path):
+    df = spark.createDataFrame([("b", "two\x01", "k2"), ("a", "o;ne\nx", "k1")], "diff_id string, commit_message string, secret string")
+    records.write_sheet(df, f"{tmp_path}/sheet", ("secret",), f"{tmp_path}/key")
+    sheet = records.read_sheet(spark, f"{tmp_path}/sheet")
+    assert sheet.columns == ["diff_id", "commit_message"] and [tuple(r) for r in sheet.collect()] == [("a", "o;ne\nx"), ("b", "two")]
+    assert {(r.diff_id, r.secret) for r in spark.read.json(f"{tmp_path}/key").collect()} == {("a", "k1"), ("b", "k2")}
+    earlier = spark.createDataFrame([("x", 3), ("y", 1), ("x", 0), (" ", 2)], "diff_id string, place int")
+    assert [tuple(r) for r in records.ids_in_order(earlier, "diff_id", "place").orderBy("place").collect()] == [("x", 0), ("y", 1)]
+    for _ in range(2):
+        records.write_records(spark.createDataFrame([("a", "m/1")], "diff_id string, model string"), f"{tmp_path}/out")
+    assert spark.read.json(f"{tmp_path}/out").count() == 2
+    sha = "a" * 40
+    (tmp_path / "log.txt").write_text(f"{sha} | 2024-01-01 | me | fix: a | b | https://x/y\nnoise\n")
+    assert [tuple(r) for r in records.commit_log(spark, str(tmp_path / "log.txt")).collect()] == [(sha, "2024-01-01", "me", "fix: a | b", "https://x/y")]

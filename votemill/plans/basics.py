@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Window
@@ -28,11 +29,13 @@ def min_words(spark, d):
 
 
 def blank_profile(spark, d):
-    """Missing and blank values of the documents' columns."""
-    blank = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNull() | (F.length(F.btrim(F.col(c), F.lit(" \t\r\n"))) == 0), 1).otherwise(0)), F.lit(0))
+    """Missing and blank values of the documents' columns, of text and path together, and of all at once."""
+    empty = lambda c: F.coalesce(F.length(F.btrim(F.col(c), F.lit(" \t\r\n"))) == 0, F.lit(True))
     cols = ("text", "lang", "source", "repo", "file_path")
-    a = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"), *[blank(c).alias(c) for c in cols])
-    return a.select("n", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("bigint").alias("blank")) for c in cols])))
+    sets = {**{c: (c,) for c in cols}, "text and file_path": ("text", "file_path"), "all": cols}
+    n = lambda cs: F.count(F.when(functools.reduce(lambda a, b: a & b, map(empty, cs)), 1))
+    a = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"), *[n(cs).alias(f"c{i}") for i, cs in enumerate(sets.values())])
+    return a.select("n", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("blank")) for i, c in enumerate(sets)])))
 
 
 def char_counts(spark, d):
@@ -275,7 +278,7 @@ def panel_sql(query: str) -> str:
 _AG = "with r as (select diff_id item, category_scores s from recovered_20260714_204326 where diff_id is not null), n as (select item, count(s) n from r group by 1), e as (select item, unnest(map_entries(s)) e from r where s is not null), x as (select item, e.key category, max(e.value) hi, sum(e.value) t, max(cast(e.value >= 0.5 as double)) a from e where e.key in ('System Overview', 'AI Integration', 'Documentation', 'Architecture', 'Impl. Details', 'Build and Run', 'Testing', 'Conf.&Env.', 'DevOps', 'Development Process', 'Project Management', 'Maintenance', 'Debugging', 'Performance', 'Security', 'UI/UX') group by 1, 2) "
 SQL = {
     "min_words": "select doc_id, cast(words as int) words from (select doc_id, len(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda w: w <> '')) words from documents where text is not null) where words >= 10",
-    "blank_profile": "select count(*) over () * 0 + n n, \"column\", blank from (" + " union all ".join(f"select count(*) n, '{c}' \"column\", count(*) filter ({c} is null or length(trim({c}, chr(32) || chr(9) || chr(13) || chr(10))) = 0) blank from documents" for c in ("text", "lang", "source", "repo", "file_path")) + ")",
+    "blank_profile": " union all ".join(f"select count(*) n, '{name}' \"column\", count(*) filter (" + " and ".join(f"({c} is null or length(trim({c}, chr(32) || chr(9) || chr(13) || chr(10))) = 0)" for c in cs) + ") blank from documents" for name, cs in (*((c, (c,)) for c in ("text", "lang", "source", "repo", "file_path")), ("text and file_path", ("text", "file_path")), ("all", ("text", "lang", "source", "repo", "file_path")))),
     "char_counts": "select case when n_chars is null then 'missing' when n_chars = length(coalesce(text, '')) then 'right' else 'wrong' end state, count(*) documents from documents group by 1",
     "duplicate_texts": "select md5(text) digest, count(*) n, min(doc_id) first_id from documents where text is not null group by 1 having count(*) > 1",
     "json_scores": "select event_type, count(k) n, cast(sum(k) as bigint) total, max(k) most from (select event_type, cast(json_extract(props, '$.k') as int) k from events) group by 1",

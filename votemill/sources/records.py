@@ -153,6 +153,18 @@ def write_records(df: DataFrame, path: str) -> None:
     (w.partitionBy("model") if "model" in df.columns else w).json(path)
 
 
+def write_sheet(df: DataFrame, path: str, key_columns: tuple[str, ...], key_path: str) -> None:
+    """A sheet for blind labelling, a CSV with a byte order mark and semicolons, without ``key_columns``; these go to a key file of JSON lines.
+
+    A sheet is a sample that people read, so it is one file, in the order of its first column.
+    """
+    first = df.columns[0]
+    shown = [F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "").alias(c) if t == "string" else F.col(c) for c, t in df.dtypes if c not in key_columns]
+    sheet = df.select(*shown).orderBy(first).coalesce(1)
+    sheet.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    df.select(first, *key_columns).orderBy(first).coalesce(1).write.mode("overwrite").json(key_path)
+
+
 def finite(df: DataFrame) -> DataFrame:
     """NaN and infinite numbers as null, as JSON knows neither."""
     kinds = dict(df.dtypes)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _FILE_TYPES = {"additions": "int", "deletions": "int", "changes": "int", "added_lines": "array<string>", "removed_lines": "array<string>"}
 _COMMIT_TYPES = {"diff_index": "int", "included_in_windows": "array<int>"}
@@ -50,9 +49,3 @@ def commit_units(h: DataFrame) -> DataFrame:
 def file_units(h: DataFrame) -> DataFrame:
     """One row per non-null file element: history_id, commit_pos, file_pos and the struct ``f``; as commit_units."""
     return commit_units(h).select("history_id", "commit_pos", F.posexplode("c.acf_files").alias("file_pos", "f")).where("f is not null")
-
-
-def struct_fields(df: DataFrame, column: str) -> list[str]:
-    kind = df.schema[column].dataType
-    assert isinstance(kind, T.StructType)
-    return kind.fieldNames()
