@@ -101,17 +101,23 @@ def item_jaccard(sets: DataFrame) -> DataFrame:
 def by_category(sets: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     """Per category: prevalence, share of items not unanimous, Fleiss, alpha, mean Cohen over pairs of raters.
 
-    One scan and one chain: an item gives, for each category, its count of votes and one entry
-    per pair of raters; equal entries are counted before anything is shuffled, and all metrics
-    follow from the counts.
+    One scan and one chain: a rater's set is a number with a bit for each category, and items on
+    which all sets are alike are counted before anything is made of them.  What is left gives, for
+    each category, its count of votes and one entry per pair of raters; equal entries are counted
+    again, and all metrics follow from the counts.
     """
-    g = sets.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("rater", F.col("labels").alias("label")))).alias("v"))
-    x = g.select("v", rater_pairs(F.col("v")).alias("pairs"), F.explode(F.array(*[F.lit(c) for c in categories])).alias("category"))
-    has = lambda c: F.array_contains(c, F.col("category")).cast("int")
+    if len(categories) > 60:
+        return by_category(sets, categories[:60]).unionByName(by_category(sets, categories[60:]))
+    bits = F.create_map(*[F.lit(x) for i, c in enumerate(categories) for x in (c, 1 << i)]).cast("map<string,bigint>")
+    mask = F.aggregate(F.array_distinct("labels"), F.lit(0).cast("bigint"), lambda a, l: a + F.coalesce(F.try_element_at(bits, l), F.lit(0).cast("bigint")))
+    g = sets.select("item", F.struct("rater", mask.alias("label")).alias("r")).groupBy("item").agg(F.sort_array(F.collect_list("r")).alias("v"))
+    alike = g.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
+    x = alike.select("v", "w", rater_pairs(F.col("v")).alias("pairs"), F.inline(F.array(*[F.struct(F.lit(c).alias("category"), F.lit(1 << i).cast("bigint").alias("bit")) for i, c in enumerate(categories)])))
+    has = lambda c: (c.bitwiseAND(F.col("bit")) != 0).cast("int")
     none = F.lit(None).cast("string")
-    item = F.struct(none.alias("ra"), none.alias("rb"), F.size("v").alias("p"), F.size(F.filter("v", lambda r: F.array_contains(r["label"], F.col("category")))).alias("q"))
+    item = F.struct(none.alias("ra"), none.alias("rb"), F.size("v").alias("p"), F.size(F.filter("v", lambda r: r["label"].bitwiseAND(F.col("bit")) != 0)).alias("q"))
     pair = F.transform("pairs", lambda y: F.named_struct(F.lit("ra"), y["rater_a"], F.lit("rb"), y["rater_b"], F.lit("p"), has(y["a"]), F.lit("q"), has(y["b"])))
-    n = x.select("category", F.inline(F.concat(F.array(item), pair))).groupBy("category", "ra", "rb", "p", "q").agg(F.count(F.lit(1)).alias("n"))
+    n = x.select("category", "w", F.inline(F.concat(F.array(item), pair))).groupBy("category", "ra", "rb", "p", "q").agg(F.sum("w").alias("n"))
 
     m, y, w = F.col("p"), F.col("q"), F.col("n")
     whole = F.col("ra").isNull()
